@@ -7,8 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweb.llm import setjoin
-from strandweb.session import table
+from strandweb.llm import canonical, leakage, packing, reading, seen, setjoin, terms
+from strandweb.session import checkpointed, table
 
 SIMILAR, LEAST_LINKS = Fraction(4, 5), 5
 
@@ -31,7 +31,89 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(known, "rep").select("page_id", F.col("rep").alias("class_id"), "copies", F.coalesce("partners", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canonical.repeats(table(spark, sf_dir, "page_dumps"), "raw_id", "body")
+    return found.select(F.col("first").alias("first_raw_id"), F.col("record").alias("raw_id"))
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = canonical.collapse(table(spark, sf_dir, "page_dumps"), "raw_id", "body")
+    return records.select(F.col("first").alias("first_raw_id"), "copies")
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    history, tasks = table(spark, sf_dir, "task_history"), table(spark, sf_dir, "tasks")
+    return seen.seen_messages(history, [F.col("run_id"), F.col("url")], tasks, "msg_no", [F.col("run.id"), F.col("url")])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(spark, sf_dir)[0].where("certain").select(F.col("message").alias("msg_no"))
+
+
+def p3_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the audit with certainly absent keys, and how many messages the filters alone would get wrong."""
+    messages, report = _seen(spark, sf_dir)
+    counts = messages.agg(F.count(F.lit(1)).alias("taken_for_seen"), F.sum(F.when(F.col("certain"), 0).otherwise(1)).alias("wrongly"))
+    return report.withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _page_terms(spark, sf_dir)
+    marks = F.filter(F.array(F.when(F.col("is_rare"), "rare"), F.when(F.col("is_common"), "common")), lambda x: x.isNotNull())
+    return counts.select("column_name", "term", F.explode(marks).alias("mark"))
+
+
+def _page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "page_data")
+    kinds = pages.select(F.array(F.when(F.col("content_type") != "", F.col("content_type"))).alias("content_type"))
+    n = pages.count()
+    parts = [terms.marked(terms.ngram_counts(d, c, 1), n).select(F.lit(c).alias("column_name"), F.col("terms")[0].alias("term"), "occurrences", "records", "is_rare", "is_common") for d, c in ((pages, "links"), (kinds, "content_type"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_terms(spark, sf_dir)
+
+
+def p5_link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and pairs of links that follow each other on a page, with occurrences and pages."""
+    counts = terms.ngram_counts(table(spark, sf_dir, "page_data"), "links", 2)
+    return counts.select(F.col("terms")[0].alias("first_link"), F.coalesce(F.get("terms", F.lit(1)), F.lit("")).alias("next_link"), "occurrences", F.col("records").alias("pages"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = checkpointed(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.containers(counts).select("container", F.col("record").alias("doc_id"), "piece", "begin", "size")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return found.select(F.col("record").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the leaked spans: what is left of each, as length and hash."""
+    clean = leakage.without_leaks(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return clean.select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("digest"))
+
+
+def _levels(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_labels")
+    english = documents.where(F.lower("lang").startswith("en")).select("doc_id", "text", "source")
+    model = reading.fit_documents(english, "doc_id", "text", labels, "doc_id", "grade")
+    return reading.with_levels(english, "text", model, least_words)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir, 40).where("level >= 4").select("doc_id")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source and level."""
+    return _levels(spark, sf_dir, 0).groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_records, p3_found, p3_error_rate, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile)}
 
 _SETS = """
 WITH sets AS (SELECT page_id, list_sort(list_distinct(links)) AS s FROM page_data WHERE len(list_distinct(links)) >= 5),
@@ -40,10 +122,36 @@ sim AS (
     SELECT a.page_id AS a, b.page_id AS b FROM tok a JOIN tok b ON a.t = b.t AND a.page_id < b.page_id AND 5 * least(a.k, b.k) >= 4 * greatest(a.k, b.k)
     GROUP BY 1, 2, a.k, b.k HAVING 9 * count(*) >= 4 * (a.k + b.k)
 )"""
+_LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
+_TEXT = lambda f: f"coalesce({_LETTERS.format(f'body->>{f!r}')}, '-')"
+_RECORDS = f"""
+WITH good AS (SELECT raw_id, CAST(body AS JSON) AS body FROM page_dumps WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+canon AS (
+    SELECT raw_id, concat_ws('|', {_TEXT('url')}, coalesce(CAST(CAST(body->>'status' AS DOUBLE) AS VARCHAR), '-'), {_TEXT('lastRunID')}, {_TEXT('lastUpdatedAt')}, {_TEXT('foundAt')}, {_TEXT('contentType')},
+        array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(CAST(body->'links' AS VARCHAR[]), []), lambda x: {_LETTERS.format('x')}), lambda x: x <> ''))), ' ')) AS canonical FROM good
+)"""
+_TERMS = """SELECT 'links' AS column_name, term, count(*) AS occurrences, count(DISTINCT page_id) AS records FROM (SELECT page_id, unnest(links) AS term FROM page_data) WHERE term IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'content_type', content_type, count(*), count(*) FROM page_data WHERE content_type <> '' GROUP BY 2"""
 SQL = {
     "p1_found": _SETS + " SELECT a AS page_id_a, b AS page_id_b FROM sim",
     "p1_classes": _SETS
     + """, cls AS (SELECT s, min(page_id) AS class_id, count(*) AS copies FROM sets GROUP BY s),
     links AS (SELECT x, count(*) AS n FROM (SELECT unnest([a, b]) AS x FROM sim WHERE a IN (SELECT class_id FROM cls) AND b IN (SELECT class_id FROM cls)) GROUP BY 1)
     SELECT page_id, class_id, copies, coalesce(n, 0) AS n_links FROM sets JOIN cls USING (s) LEFT JOIN links ON x = class_id""",
+    "p2_found": _RECORDS + " SELECT min(raw_id) OVER (PARTITION BY canonical) AS first_raw_id, raw_id FROM canon QUALIFY first_raw_id < raw_id",
+    "p2_records": _RECORDS + " SELECT min(raw_id) AS first_raw_id, count(*) AS copies FROM canon GROUP BY canonical",
+    "p3_found": """SELECT msg_no FROM tasks t WHERE run.id IS NOT NULL AND url IS NOT NULL AND (
+            EXISTS (SELECT 1 FROM task_history h WHERE h.run_id = t.run.id AND h.url = t.url)
+            OR EXISTS (SELECT 1 FROM tasks o WHERE o.run.id = t.run.id AND o.url = t.url AND o.msg_no < t.msg_no))""",
+    "p5_terms": f"SELECT column_name, term, occurrences, records, records = 1 AS is_rare, records > 0.05 * (SELECT count(*) FROM page_data) AS is_common FROM ({_TERMS})",
+    "p5_found": f"""SELECT column_name, term, 'rare' AS mark FROM ({_TERMS}) WHERE records = 1
+        UNION ALL SELECT column_name, term, 'common' FROM ({_TERMS}) WHERE records > 0.05 * (SELECT count(*) FROM page_data)""",
+    "p5_link_pairs": """WITH p AS (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM page_data),
+        n AS (SELECT page_id, links[i] AS a, '' AS b FROM p WHERE links[i] IS NOT NULL UNION ALL SELECT page_id, links[i], links[i + 1] FROM p WHERE links[i] IS NOT NULL AND links[i + 1] IS NOT NULL)
+        SELECT a AS first_link, b AS next_link, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM n GROUP BY 1, 2""",
+    "p9_found": """WITH w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+            UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM eval_items),
+        u AS (SELECT side, id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM w),
+        g AS (SELECT side, id, string_agg(t, ' ') OVER r AS gram FROM u WINDOW r AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) QUALIFY count(*) OVER r = 13)
+        SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e USING (gram) WHERE d.side = 0 AND e.side = 1""",
 }
