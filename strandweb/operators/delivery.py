@@ -34,13 +34,13 @@ def first_copies(df: DataFrame, identity: dict[str, Column], order: list[Column]
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
-def surplus_copies(df: DataFrame, identity: dict[str, Column], message_id: str) -> DataFrame:
-    """``message_id`` of each copy but the first (by ``message_id``, which is unique) of its identity.
+def surplus_copies(df: DataFrame, identity: dict[str, Column], message_id: str, order: list[Column] = ()) -> DataFrame:
+    """``message_id`` (a unique column) of each copy but the first of its identity, in ``order`` or else by the id itself.
 
-    The first copy of each identity comes from the same aggregation; the rest is an anti join on the unique message id,
-    which spreads evenly whatever the identities are.
+    The first copies come from the same ``min_by`` aggregation; the rest is an anti join on the unique message id, which
+    spreads evenly whatever the identities are. Messages without id or identity are no copies.
     """
-    known = df.where(_identified(identity)).select(F.col(message_id).alias("message"), *[c.alias(f"__id_{k}") for k, c in identity.items()])
-    known = known.where(F.col("message").isNotNull())
-    kept = known.groupBy(*[f"__id_{k}" for k in identity]).agg(F.min("message").alias("message"))
+    known = df.where(_identified(identity) & F.col(message_id).isNotNull())
+    known = known.select(F.col(message_id).alias("message"), F.struct(*order, F.col(message_id), _tie(df)).alias("rank"), *[c.alias(f"__id_{k}") for k, c in identity.items()])
+    kept = known.groupBy(*[f"__id_{k}" for k in identity]).agg(F.min_by("message", F.col("rank")).alias("message"))
     return known.select("message").join(kept.select("message"), "message", "left_anti").select(F.col("message").alias(message_id))
