@@ -33,9 +33,9 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case. A character whose lower case isn't a letter alone must not cut its word."""
+    """Words in lower case. Letters whose lower case isn't one letter, or depends on the next word, are lowered word by word."""
     low = text.lower()
-    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(low) if len(low) == len(text) and "\u03a3" not in text else [w.lower() for w in _WORD.findall(text)]
 
 
 class ItemWindows:
