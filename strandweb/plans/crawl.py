@@ -1,7 +1,7 @@
 """Depth-limited crawls, level by level.
 
 One level: drop what the cache knows, ask the robots rules, fetch, extract links, write pages and cache, admit the children. Work is done once for each different url of a level; its result goes to all tasks that want it. Between
-levels only the checkpointed frontier is kept, so lineage doesn't grow. A run ends when none of its children is admitted; the loop takes at
+levels only written tables are kept, so lineage doesn't grow. A run ends when none of its children is admitted; the loop takes at
 most ``max(max_depth)`` rounds.
 
 Every admitted task has one outcome: saved, cache_hit, robots_denied or fetch_error. Of tasks of one level that use the cache
@@ -26,7 +26,7 @@ from strandweb.operators.cache import TTL_HOURS, live, write
 from strandweb.operators.graph import upsert_edges, upsert_nodes
 from strandweb.operators.scan import numbered
 from strandweb.schemas import CACHE
-from strandweb.session import checkpointed
+from strandweb.session import written
 from strandweb.sources.fetch import Fetcher
 
 AGENT = "strandweb"
@@ -80,11 +80,11 @@ def crawl(
 ) -> Crawl:
     """Crawl all ``runs`` at once, or ``max_concurrent_runs`` after each other in order of their ids, later ones seeing the cache of earlier ones."""
     spark = runs.sparkSession
-    limits = checkpointed(run_limits(runs))
+    limits = written(run_limits(runs))
     now = F.lit(as_of).cast("timestamp")
     known = spark.createDataFrame([], CACHE) if cache is None else cache.select("url", "links", "cached_at")
     if max_concurrent_runs:
-        limits = checkpointed(numbered(limits, ["run_id"], "number").withColumn("batch", F.expr(f"(number - 1) div {max_concurrent_runs}")))
+        limits = written(numbered(limits, ["run_id"], "number").withColumn("batch", F.expr(f"(number - 1) div {max_concurrent_runs}")))
         batches = (limits.agg(F.max("batch")).first()[0] or 0) + 1
         groups = [limits.where(F.col("batch") == b) for b in range(batches)]
     else:
@@ -108,24 +108,24 @@ def _crawl_group(limits: DataFrame, fetcher: Fetcher, now: Column, robots: DataF
         most = max(budget.agg(F.max("left")).first()[0] or 0, 0)
         asked = candidates.join(budget, "run_id")
         admitted = admit(asked.where(within_depth(F.col("depth"), F.col("max_depth"))), "run_id", [F.col("parent"), F.col("url")], F.col("left"), most)
-        frontier = checkpointed(admitted.select("run_id", "url", "depth", (F.col("used") + F.col("rank")).alias("seq"), "use_cache", "render"))
+        frontier = written(admitted.select("run_id", "url", "depth", (F.col("used") + F.col("rank")).alias("seq"), "use_cache", "render"))
         entered = frontier.groupBy("run_id").agg(F.count(F.lit(1)).alias("entered"))
         wanted = candidates.groupBy("run_id").agg(F.count(F.lit(1)).alias("wanted"))
-        refused.append(checkpointed(wanted.join(entered, "run_id", "left").select("run_id", F.lit(level).alias("level"), (F.col("wanted") - F.coalesce("entered", F.lit(0))).alias("n"))))
+        refused.append(written(wanted.join(entered, "run_id", "left").select("run_id", F.lit(level).alias("level"), (F.col("wanted") - F.coalesce("entered", F.lit(0))).alias("n"))))
         results = _level(frontier, fetcher, now, robots, known, agent, ttl_hours, extract)
         done.append(results)
         if frontier.isEmpty():
             return known
         saved = results.where("outcome = 'saved'")
         fresh = saved.groupBy("url").agg(F.max_by("links", F.struct("run_id", "seq")).alias("links")).withColumn("cached_at", now)
-        known = checkpointed(write(known, fresh))
-        used = checkpointed(used.join(entered, "run_id", "left").select("run_id", (F.col("used") + F.coalesce("entered", F.lit(0))).alias("used")))
+        known = written(write(known, fresh))
+        used = written(used.join(entered, "run_id", "left").select("run_id", (F.col("used") + F.coalesce("entered", F.lit(0))).alias("used")))
         children = saved.select("run_id", (F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"), F.explode("links").alias("url"))
         candidates, level = children.where(F.col("url").isNotNull()), level + 1
 
 
 def _level(frontier: DataFrame, fetcher: Fetcher, now: Column, robots: DataFrame | None, known: DataFrame, agent: str, ttl_hours: int, extract: Callable) -> DataFrame:
-    """The frontier with outcome, status, links and content type, checkpointed."""
+    """The frontier with outcome, status, links and content type."""
     hits = live(known, now, ttl_hours).select("url", F.lit(True).alias("hit"))
     gated = frontier.join(hits, "url", "left").withColumn("hit", F.col("use_cache") & F.coalesce("hit", F.lit(False)))
     open_ = gated.where("not hit")
@@ -141,5 +141,5 @@ def _level(frontier: DataFrame, fetcher: Fetcher, now: Column, robots: DataFrame
     outcome = F.when(F.col("hit"), "cache_hit").when(F.col("denied"), "robots_denied").when(F.col("loaded").isNull(), "fetch_error").when(F.coalesce(later, F.lit(False)), "cache_hit").otherwise("saved")
     saved = F.col("outcome") == "saved"
     rows = joined.withColumn("outcome", outcome)
-    return checkpointed(rows.select("run_id", "url", "depth", "seq", "outcome", *[F.when(saved, F.col(c)).alias(c) for c in ("status", "links", "content_type")]))
+    return written(rows.select("run_id", "url", "depth", "seq", "outcome", *[F.when(saved, F.col(c)).alias(c) for c in ("status", "links", "content_type")]))
 

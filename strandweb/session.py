@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder and read back; the table goes when the session ends.
+
+    For loops: unlike a checkpoint, a table doesn't inherit the size estimates of the plan that made it, which multiply with
+    every join until the planner drowns in them.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that ``df`` reads, without running anything."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
