@@ -211,10 +211,9 @@ def crawl_bfs_nocache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of all runs, crawled at once over the known pages, three levels deep."""
+    """Outcomes of all runs, crawled at once over the known pages."""
     pages = _pages(spark, sf_dir).select("url", "page_id", F.coalesce("status", F.lit(200)).alias("status"), _anchors(F.col("links")).alias("body"), "content_type")
-    runs = table(spark, sf_dir, "runs").withColumn("max_depth", F.least("max_depth", F.lit(3)))
-    return crawl(runs, SnapshotFetcher(pages, "page_id"), AS_OF).outcomes()
+    return crawl(table(spark, sf_dir, "runs"), SnapshotFetcher(pages, "page_id"), AS_OF).outcomes()
 
 
 QUERIES = {

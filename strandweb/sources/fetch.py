@@ -45,6 +45,7 @@ class HttpFetcher:
         timeout, agent = self.timeout, self.agent
 
         def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import http.client
             import urllib.error
             import urllib.request
 
@@ -53,13 +54,13 @@ class HttpFetcher:
             for batch in batches:
                 rows = []
                 for row in batch.to_dict("records"):
-                    request = urllib.request.Request(row["url"].split("#", 1)[0], headers={"User-Agent": agent})
                     try:
+                        request = urllib.request.Request(row["url"].split("#", 1)[0], headers={"User-Agent": agent})
                         with urllib.request.urlopen(request, timeout=timeout) as reply:
                             status, body = reply.status, reply.read()
                     except urllib.error.HTTPError as e:
                         status, body = e.code, e.read()
-                    except (OSError, ValueError):
+                    except (OSError, ValueError, http.client.HTTPException):
                         continue
                     rows.append(row | {"status": status, "body": body.decode("utf-8", "replace"), "content_type": content_type(body), "rendered_html": None})
                 yield pd.DataFrame(rows, columns=[*batch.columns, *FETCHED])
