@@ -15,8 +15,8 @@ SIMILAR, LEAST_LINKS = Fraction(4, 5), 5
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = setjoin.record_sets(table(spark, sf_dir, "page_data"), "page_id", "links", LEAST_LINKS)
-    classes, pairs = setjoin.similar_sets(sets, SIMILAR, LEAST_LINKS)
-    found = setjoin.expand_pairs(pairs, setjoin.members_of(sets, classes))
+    _, pairs = setjoin.similar_sets(sets, SIMILAR, LEAST_LINKS)
+    found = setjoin.expand_pairs(pairs, setjoin.members_of(sets))
     return found.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
 
 
@@ -25,7 +25,7 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = setjoin.record_sets(table(spark, sf_dir, "page_data"), "page_id", "links", LEAST_LINKS)
     classes, pairs = setjoin.similar_sets(sets, SIMILAR, LEAST_LINKS)
     partners = pairs.select(F.explode(F.array("class_a", "class_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("partners"))
-    members = setjoin.members_of(sets, classes)
+    members = setjoin.members_of(sets)
     named = sets.select("record").join(members, "record", "left").select(F.col("record").alias("page_id"), F.coalesce("rep", "record").alias("rep"))
     known = classes.select("rep", "copies").join(partners, "rep", "left")
     return named.join(known, "rep").select("page_id", F.col("rep").alias("class_id"), "copies", F.coalesce("partners", F.lit(0)).alias("n_links"))

@@ -189,7 +189,8 @@ def similar_sets(sets: DataFrame, threshold: Fraction, min_size: int, frequent:
     classes = sets.groupBy("tokens").agg(F.min("record").alias("rep"), F.count(F.lit(1)).alias("copies"))
     kind = dict(classes.dtypes)["rep"]
     postings = classes.select("rep", F.size("tokens").alias("size"), F.explode("tokens").alias("t"))
-    shared = postings.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Counting rep, not rows, keeps both readers of the classes alike, so that Spark shuffles the sets once for both.
+    shared = postings.groupBy("t").agg(F.count("rep").alias("n")).where("n > 1")
     least = f"cast(({p}L * size + {q - 1}) div {q} as int)"
     members = (
         postings.join(shared, "t").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("held"))
@@ -224,11 +225,14 @@ def similar_sets(sets: DataFrame, threshold: Fraction, min_size: int, frequent:
     return classes, pairs
 
 
-def members_of(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(record, rep)`` of the records of classes with several copies; a single record is its class's name."""
-    tag = lambda c: [F.xxhash64(c).alias("m1"), F.xxhash64(F.lit("member"), c).alias("m2")]
-    several = classes.where("copies > 1").select("rep", *tag("tokens"))
-    return sets.select("record", *tag("tokens")).join(several, ["m1", "m2"]).select("record", "rep")
+def members_of(sets: DataFrame) -> DataFrame:
+    """``(record, rep)`` of the records of classes with several copies; a single record is its class's name.
+
+    Classes are told apart by 128 bits of their sets here, which are a fraction of the sets' size.
+    """
+    tagged = sets.select("record", F.xxhash64("tokens").alias("m1"), F.xxhash64(F.lit("member"), "tokens").alias("m2"))
+    several = tagged.groupBy("m1", "m2").agg(F.min("record").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return tagged.join(several, ["m1", "m2"]).select("record", "rep")
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -247,6 +251,6 @@ def pairs_between(left: DataFrame, right: DataFrame, record: str, values: str, t
     """``(a, b)``: the records of ``left`` and of ``right`` with similar sets, copies expanded."""
     tagged = [record_sets(d, record, values, min_size).select(F.struct(F.lit(i).alias("side"), F.col("record").alias("id")).alias("record"), "tokens") for i, d in enumerate((left, right))]
     sets = tagged[0].unionByName(tagged[1])
-    classes, pairs = similar_sets(sets, threshold, min_size)
-    both = expand_pairs(pairs, members_of(sets, classes)).where("a.side = 0 and b.side = 1")
+    _, pairs = similar_sets(sets, threshold, min_size)
+    both = expand_pairs(pairs, members_of(sets)).where("a.side = 0 and b.side = 1")
     return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))

@@ -42,7 +42,7 @@ def test_pairs(spark, threshold, least, frequent, block):
     df = spark.createDataFrame(rows, "id long, v array<string>").repartition(7)
     sets = record_sets(df, "id", "v", least)
     classes, pairs = similar_sets(sets, t, least, frequent, block)
-    got = [tuple(r) for r in expand_pairs(pairs, members_of(sets, classes)).collect()]
+    got = [tuple(r) for r in expand_pairs(pairs, members_of(sets)).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(rows, t, least)
     sizes = {r.rep: set(r.tokens) for r in classes.collect()}
