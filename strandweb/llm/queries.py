@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweb.llm import canonical, leakage, packing, reading, seen, setjoin, terms
-from strandweb.session import checkpointed, table
+from strandweb.session import checkpointed, spread, table
 
 SIMILAR, LEAST_LINKS = Fraction(4, 5), 5
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, on all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = setjoin.record_sets(table(spark, sf_dir, "page_data"), "page_id", "links", LEAST_LINKS)
     _, pairs = setjoin.similar_sets(sets, SIMILAR, LEAST_LINKS)
@@ -82,23 +87,23 @@ def p5_link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = checkpointed(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    counts = checkpointed(packing.token_counts(_documents(spark, sf_dir), "doc_id", "text"))
     return packing.containers(counts).select("container", F.col("record").alias("doc_id"), "piece", "begin", "size")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    found = leakage.leaks(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
     return found.select(F.col("record").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the leaked spans: what is left of each, as length and hash."""
-    clean = leakage.without_leaks(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    clean = leakage.without_leaks(_documents(spark, sf_dir), "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
     return clean.select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("digest"))
 
 
 def _levels(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_labels")
+    documents, labels = _documents(spark, sf_dir), table(spark, sf_dir, "grade_labels")
     english = documents.where(F.lower("lang").startswith("en")).select("doc_id", "text", "source")
     model = reading.fit_documents(english, "doc_id", "text", labels, "doc_id", "grade")
     return reading.with_levels(english, "text", model, least_words)
