@@ -20,6 +20,7 @@ class Node:
 
 
 _SPACE = re.compile(r"(?:[\s﻿]|//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*\*/)+")
+_NEWLINE = re.compile("[\n\r  ]")
 _NAME = re.compile(r"(?:[^\W\d]|[$_]|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\})(?:\w|[$‌‍]|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\})*")
 _NUMBER = re.compile(r"0[xX][0-9A-Fa-f_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?n?")
 _PUNCTUATION = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@#]")
@@ -79,9 +80,8 @@ class Parser:
         """Next token: ``kind`` (name, num, str, punct, tick, end), ``token`` (its text or value), ``start``, ``newline`` (before it)."""
         text = self.text
         space = _SPACE.match(text, self.at)
-        gap = space.group() if space else ""
-        self.newline = any(c in gap for c in "\n\r  ")
-        self.start = at = self.at + len(gap)
+        self.newline = bool(space) and _NEWLINE.search(space.group()) is not None
+        self.start = at = space.end() if space else self.at
         if at >= len(text):
             self.kind, self.token = "end", ""
             self.at = at

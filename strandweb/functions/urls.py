@@ -31,6 +31,9 @@ _QUERY_KEPT = frozenset(_PLAIN.encode())
 _legal_path = re.compile(r"^(?:[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]]|%[0-9A-Fa-f]{2})*$")
 _legal_fragment = re.compile(r"^(?:[A-Za-z0-9\-_.~$&+,/:;=?@!'()*\[\]]|%[0-9A-Fa-f]{2})*$")
 
+#: Absolute addresses that are written as they would be.
+_settled = re.compile(r"^https?://[A-Za-z0-9.\-]+(?::[0-9]+)?/[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]]*(?:\?[^#\x00-\x1f\x7f]+)?\Z")
+
 
 def strip_space(text: str) -> str:
     """Without Unicode white space at both ends."""
@@ -144,6 +147,8 @@ def resolve(raw: str, base: str | None = None) -> str | None:
 
     Absolute addresses keep their dot segments; relative ones without a usable base stay relative.
     """
+    if _settled.match(raw):
+        return raw
     address = parse(raw)
     if address is None:
         return None
@@ -158,6 +163,8 @@ def trim_trailing_punctuation(url: str) -> str:
 
 def normalize(url: str) -> str:
     """A link as found in markup or script, cleaned; empty if it is none that can be crawled."""
+    if url.startswith(("http://", "https://")) and "#" not in url and (url[-1] == "/" or url[-1].isalnum()):
+        return url  # the usual case: nothing below would change it
     url = strip_space(strip_space(url).strip("\"'")).split("#", 1)[0]
     url = strip_space(url)
     if not url:

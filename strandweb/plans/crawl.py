@@ -34,7 +34,7 @@ AGENT = "strandweb"
 
 @dataclass
 class Crawl:
-    """``pages``: one row per saved task; ``tasks``: run_id, url, depth, seq, outcome; ``rejected``: run_id, level, n; then the state after the crawl."""
+    """``pages``: one row per saved task; ``tasks``: run_id, url, depth, seq, outcome; ``rejected``: run_id, refused; then the state after the crawl."""
 
     pages: DataFrame
     tasks: DataFrame
@@ -46,7 +46,7 @@ class Crawl:
     def outcomes(self) -> DataFrame:
         """``run_id, outcome, n``."""
         counted = self.tasks.groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
-        refused = self.rejected.groupBy("run_id").agg(F.sum("n").alias("n")).where("n > 0").select("run_id", F.lit("limit_rejected").alias("outcome"), "n")
+        refused = self.rejected.where("refused > 0").select("run_id", F.lit("limit_rejected").alias("outcome"), F.col("refused").alias("n"))
         return counted.unionByName(refused)
 
 
@@ -82,7 +82,6 @@ def crawl(
     spark = runs.sparkSession
     limits = written(run_limits(runs))
     now = F.lit(as_of).cast("timestamp")
-    known = spark.createDataFrame([], CACHE) if cache is None else cache.select("url", "links", "cached_at")
     if max_concurrent_runs:
         limits = written(numbered(limits, ["run_id"], "number").withColumn("batch", F.expr(f"(number - 1) div {max_concurrent_runs}")))
         batches = (limits.agg(F.max("batch")).first()[0] or 0) + 1
@@ -90,56 +89,60 @@ def crawl(
     else:
         groups = [limits]
     done: list[DataFrame] = []
-    refused: list[DataFrame] = []
-    for group in groups:
-        known = _crawl_group(group, fetcher, now, robots, known, agent, ttl_hours, extract, done, refused)
+    ledgers = [_crawl_group(group, fetcher, now, robots, cache, agent, ttl_hours, extract, done) for group in groups]
     tasks = _united(done)
     pages = tasks.where("outcome = 'saved'").select("url", "status", "links", F.col("run_id").alias("last_run_id"), now.alias("last_updated_at"), now.alias("found_at"), "content_type", "seq", "depth")
     latest = pages.withColumn("seq", F.col("depth") * F.lit(1 << 40).cast("long") + F.col("seq"))
-    return Crawl(pages, tasks.select("run_id", "url", "depth", "seq", "outcome"), _united(refused), upsert_nodes(nodes, latest), upsert_edges(edges, pages), known)
+    cached = tasks.where("outcome = 'saved'").groupBy("url").agg(F.max_by("links", F.struct("run_id", "seq")).alias("links")).withColumn("cached_at", now)
+    return Crawl(pages, tasks.select("run_id", "url", "depth", "seq", "outcome"), _united(ledgers).select("run_id", "refused"), upsert_nodes(nodes, latest), upsert_edges(edges, pages), write(spark.createDataFrame([], CACHE) if cache is None else cache, cached))
 
 
-def _crawl_group(limits: DataFrame, fetcher: Fetcher, now: Column, robots: DataFrame | None, known: DataFrame, agent: str, ttl_hours: int, extract: Callable, done: list[DataFrame], refused: list[DataFrame]) -> DataFrame:
-    seeds = limits.select("run_id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("parent"), correct_scheme_of(F.col("start_url")).alias("url"))
-    used = limits.select("run_id", F.lit(0).cast("long").alias("used"))
-    candidates, level = seeds, 0
+def _crawl_group(limits: DataFrame, fetcher: Fetcher, now: Column, robots: DataFrame | None, known: DataFrame | None, agent: str, ttl_hours: int, extract: Callable, done: list[DataFrame]) -> DataFrame:
+    """Adds each level's results to ``done``; returns the runs' ledger: their limits, and the tasks ``used`` and ``refused``.
+
+    Three tables are written for a level (frontier, ledger, results), and one row comes to the driver: whether to go on.
+    """
+    zero = F.lit(0).cast("long")
+    ledger = limits.select("run_id", "max_depth", F.col("max_links").cast("long").alias("max_links"), "use_cache", "render", zero.alias("used"), zero.alias("refused"))
+    candidates = limits.select("run_id", F.lit(0).alias("depth"), zero.alias("parent"), correct_scheme_of(F.col("start_url")).alias("url"))
+    most = limits.agg(F.max("max_links")).first()[0] or 0
     while True:
-        budget = limits.join(used, "run_id").select("run_id", "max_depth", "use_cache", "render", (F.col("max_links") - F.col("used")).alias("left"), "used")
-        most = max(budget.agg(F.max("left")).first()[0] or 0, 0)
-        asked = candidates.join(budget, "run_id")
-        admitted = admit(asked.where(within_depth(F.col("depth"), F.col("max_depth"))), "run_id", [F.col("parent"), F.col("url")], F.col("left"), most)
+        asked = candidates.join(ledger, "run_id")
+        admitted = admit(asked.where(within_depth(F.col("depth"), F.col("max_depth"))), "run_id", [F.col("parent"), F.col("url")], F.col("max_links") - F.col("used"), max(most, 0))
         frontier = written(admitted.select("run_id", "url", "depth", (F.col("used") + F.col("rank")).alias("seq"), "use_cache", "render"))
-        entered = frontier.groupBy("run_id").agg(F.count(F.lit(1)).alias("entered"))
-        wanted = candidates.groupBy("run_id").agg(F.count(F.lit(1)).alias("wanted"))
-        refused.append(written(wanted.join(entered, "run_id", "left").select("run_id", F.lit(level).alias("level"), (F.col("wanted") - F.coalesce("entered", F.lit(0))).alias("n"))))
-        results = _level(frontier, fetcher, now, robots, known, agent, ttl_hours, extract)
-        done.append(results)
-        if frontier.isEmpty():
-            return known
-        saved = results.where("outcome = 'saved'")
-        fresh = saved.groupBy("url").agg(F.max_by("links", F.struct("run_id", "seq")).alias("links")).withColumn("cached_at", now)
-        known = written(write(known, fresh))
-        used = written(used.join(entered, "run_id", "left").select("run_id", (F.col("used") + F.coalesce("entered", F.lit(0))).alias("used")))
-        children = saved.select("run_id", (F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"), F.explode("links").alias("url"))
-        candidates, level = children.where(F.col("url").isNotNull()), level + 1
-
-
-def _level(frontier: DataFrame, fetcher: Fetcher, now: Column, robots: DataFrame | None, known: DataFrame, agent: str, ttl_hours: int, extract: Callable) -> DataFrame:
+        counts = candidates.select("run_id", F.lit(1).alias("wanted"), F.lit(0).alias("entered")).unionByName(frontier.select("run_id", F.lit(0).alias("wanted"), F.lit(1).alias("entered")))
+        counts = counts.groupBy("run_id").agg(F.sum("wanted").alias("wanted"), F.sum("entered").alias("entered"))
+        moved = ledger.join(counts, "run_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("wanted", "entered")})
+        ledger = written(moved.select("run_id", "max_depth", "max_links", "use_cache", "render", (F.col("used") + F.col("entered")).alias("used"), (F.col("refused") + F.col("wanted") - F.col("entered")).alias("refused"), "entered"))
+        entered, most = ledger.agg(F.sum("entered"), F.max(F.col("max_links") - F.col("used"))).first()
+        ledger = ledger.drop("entered")
+        if entered or not done:
+            done.append(_level(frontier, fetcher, now, robots, known, done, agent, ttl_hours, extract))
+        if not entered:
+            return ledger
+        saved = done[-1].where("outcome = 'saved'")
+        candidates = saved.select("run_id", (F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"), F.explode("links").alias("url")).where(F.col("url").isNotNull())
+
+
+def _level(frontier: DataFrame, fetcher: Fetcher, now: Column, robots: DataFrame | None, known: DataFrame | None, done: list[DataFrame], agent: str, ttl_hours: int, extract: Callable) -> DataFrame:
     """The frontier with outcome, status, links and content type."""
-    hits = live(known, now, ttl_hours).select("url", F.lit(True).alias("hit"))
-    gated = frontier.join(hits, "url", "left").withColumn("hit", F.col("use_cache") & F.coalesce("hit", F.lit(False)))
-    open_ = gated.where("not hit")
-    work = robots_verdict(open_.select("url", "render").distinct(), robots, agent)
+    # What this crawl has saved so far is in the cache too, and fresh.
+    cached = [*([] if known is None else [live(known, now, ttl_hours).select("url")]), *(d.where("outcome = 'saved'").select("url") for d in done)]
+    gated = frontier.withColumn("hit", F.lit(False))
+    if cached:
+        gated = frontier.join(_united(cached).distinct().withColumn("hit", F.lit(True)), "url", "left").withColumn("hit", F.col("use_cache") & F.coalesce("hit", F.lit(False)))
+    # One row for each url that has to be fetched, and then for each way in which its runs want it.
+    first = F.min(F.when(F.col("use_cache"), F.struct("run_id", "seq"))).alias("first")
+    wanted = gated.where("not hit").groupBy("url").agg(first, F.array_sort(F.collect_set("render")).alias("renders"))
+    work = robots_verdict(wanted.select("url", "first", F.explode("renders").alias("render")), robots, agent)
     fetched = fetcher.fetch(work.where("allowed").select("url", "render"))
     body = F.when(F.col("render"), F.coalesce("rendered_html", "body")).otherwise(F.col("body"))
     # The type is that of the body as it was fetched, not of the rendered one.
     loaded = fetched.select("url", "render", F.col("status").cast("int").alias("status"), F.array_sort(F.coalesce(extract(F.col("url"), body), F.array().cast("array<string>"))).alias("links"), F.coalesce("content_type", content_type_column(F.col("body"))).alias("content_type"))
-    denied = work.where("not allowed").select("url", "render", F.lit(True).alias("denied"))
-    first = open_.where("use_cache").groupBy("url").agg(F.min(F.struct("run_id", "seq")).alias("first"))
-    joined = gated.join(loaded.withColumn("loaded", F.lit(True)), ["url", "render"], "left").join(denied, ["url", "render"], "left").join(first, "url", "left")
+    results = work.join(loaded.withColumn("loaded", F.lit(True)), ["url", "render"], "left")
+    joined = gated.join(results, ["url", "render"], "left")
     later = F.col("use_cache") & (F.col("first") != F.struct("run_id", "seq"))
-    outcome = F.when(F.col("hit"), "cache_hit").when(F.col("denied"), "robots_denied").when(F.col("loaded").isNull(), "fetch_error").when(F.coalesce(later, F.lit(False)), "cache_hit").otherwise("saved")
+    outcome = F.when(F.col("hit"), "cache_hit").when(~F.col("allowed"), "robots_denied").when(F.col("loaded").isNull(), "fetch_error").when(F.coalesce(later, F.lit(False)), "cache_hit").otherwise("saved")
     saved = F.col("outcome") == "saved"
     rows = joined.withColumn("outcome", outcome)
     return written(rows.select("run_id", "url", "depth", "seq", "outcome", *[F.when(saved, F.col(c)).alias(c) for c in ("status", "links", "content_type")]))
-

@@ -20,7 +20,7 @@ from strandweb.operators.heavy_keys import url_host
 from strandweb.operators.scan import numbered, running_total
 from strandweb.plans.crawl import Crawl, crawl, robots_verdict
 from strandweb.schemas import RUN
-from strandweb.session import table
+from strandweb.session import spread, table
 from strandweb.sources.codec import decode_tasks, encode
 from strandweb.sources.fetch import SnapshotFetcher
 
@@ -33,7 +33,8 @@ def _anchors(links: Column) -> Column:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "page_data").where(F.col("url").isNotNull())
+    """Pages for extraction, on all cores."""
+    return spread(table(spark, sf_dir, "page_data").where(F.col("url").isNotNull()))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan ``df`` whose few input splits would leave cores idle in front of a slow function, spread over all of them.
+
+    Looks at the splits only; tables of many splits, large ones that is, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that ``df`` reads, without running anything."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

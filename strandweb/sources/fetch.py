@@ -22,17 +22,22 @@ class Fetcher(Protocol):
 
 class SnapshotFetcher:
     """Documents of a table. Requests carry no fragment, so both sides are compared without it; of several rows for one
-    address the first in ``order`` counts."""
+    address the first in ``order`` counts.
+
+    The wanted addresses meet the table first, and only the matching rows are compared: a small frontier is broadcast by Spark
+    on its size and the table is scanned once; else both are shuffled by address, and the comparison needs no shuffle of its own.
+    """
 
     def __init__(self, web: DataFrame, order: str = "url"):
         missing = {c: F.lit(None).cast("string") for c in FETCHED if c not in web.columns}
         rows = web.withColumns(missing) if missing else web
         packed = F.struct(F.col("status").cast("int").alias("status"), *[F.col(c).cast("string").alias(c) for c in FETCHED[1:]])
-        keyed = rows.where(F.col("url").isNotNull()).select(without_fragment(F.col("url")).alias("__key"), packed.alias("doc"), F.struct(F.col(order), F.xxhash64(packed)).alias("rank"))
-        self.documents = keyed.groupBy("__key").agg(F.min_by("doc", "rank").alias("doc")).select("__key", "doc.*")
+        self.documents = rows.where(F.col("url").isNotNull()).select(without_fragment(F.col("url")).alias("__key"), packed.alias("__doc"), F.col(order).alias("__rank"))
 
     def fetch(self, urls: DataFrame) -> DataFrame:
-        return urls.withColumn("__key", without_fragment(F.col("url"))).join(self.documents, "__key").drop("__key")
+        found = urls.withColumn("__key", without_fragment(F.col("url"))).join(self.documents, "__key")
+        first = found.groupBy("__key", *urls.columns).agg(F.min_by("__doc", F.struct("__rank", F.xxhash64("__doc"))).alias("__doc"))
+        return first.select(*urls.columns, "__doc.*")
 
 
 class HttpFetcher:
