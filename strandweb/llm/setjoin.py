@@ -43,8 +43,9 @@ def record_sets(df: DataFrame, record: str, values: str, min_size: int) -> DataF
     held = F.filter(F.col(values), lambda x: x.isNotNull())
     rows = df.select(F.col(record).alias("record"), F.array_sort(F.array_distinct(F.transform(held, lambda x: F.xxhash64(x)))).alias("tokens"))
     rows = rows.where(F.col("record").isNotNull() & F.col("tokens").isNotNull())
-    repeated = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record")
-    if not repeated.isEmpty():  # asked over the ids alone, so that the sets aren't shuffled where ids are unique
+    ids = df.select(F.col(record).alias("record")).where("record is not null")
+    repeated = ids.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record")
+    if not repeated.isEmpty():  # asked over the id column alone, so that the sets aren't read and shuffled where ids are unique
         united = rows.join(repeated, "record", "left_semi").select("record", F.explode("tokens").alias("t"))
         united = united.groupBy("record").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
         rows = rows.join(repeated, "record", "left_anti").unionByName(united)
