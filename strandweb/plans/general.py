@@ -101,6 +101,6 @@ SQL = {
         CAST(len(n.held) AS INTEGER) AS n_links, n.last_run_id AS opened_by_run FROM runs r JOIN numbered n ON n.update_id = r.opened_by""",
     "p7_found": """SELECT msg_no FROM tasks WHERE run.id IS NOT NULL AND url IS NOT NULL AND current_depth IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY run.id, url, current_depth ORDER BY msg_no) > 1""",
-    "p7_messages": """SELECT msg_no, batch_no, received_at, url, current_depth, run.id AS run_id FROM tasks WHERE run.id IS NOT NULL AND url IS NOT NULL AND current_depth IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY run.id, url, current_depth ORDER BY msg_no) = 1""",
+    "p7_messages": """SELECT msg_no, batch_no, received_at, url, current_depth, run.id AS run_id FROM tasks WHERE msg_no IN (
+        SELECT min(msg_no) FROM tasks WHERE run.id IS NOT NULL AND url IS NOT NULL AND current_depth IS NOT NULL GROUP BY run.id, url, current_depth)""",
 }

@@ -11,4 +11,4 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from strandweb.session import local_session
 
-    return local_session(8, 8)
+    return local_session(8, 3)  # small tables: few partitions, but more than one
