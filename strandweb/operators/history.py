@@ -1,10 +1,18 @@
 """Full history of changing attributes by tree-reduction coalescing.
 
 Each snapshot is a unit interval of its entity. Neighbouring interval runs are merged pairwise, by entity and equal
-payload, over logarithmic rounds: first inside fixed-size chunks of the time-ordered rows, then across chunk edges and
-partition edges. The rows are range-partitioned by (entity, time), so an entity with a third of all rows is spread over
-many partitions instead of being sorted in one task; what crosses a partition edge is one head and one tail run for
-each partition, a number that depends on the partitioning and not on the data.
+payload, over logarithmic rounds of one tree:
+
+* The rows are range-partitioned by (entity, time) and sorted, so an entity with a third of all rows covers many
+  partitions. A partition is read in *chunks* of bounded rows and bytes; the runs of a chunk start as its single rows, and
+  in each of ``log2(rows)`` rounds neighbouring segments are joined, the two runs that touch becoming one if they agree
+  (:func:`coalesce`; the table of runs shrinks as they merge).
+* What may still grow over a chunk's edges is its first and its last run. These go on up the tree: pairs of neighbouring
+  chunks, of partitions, and of groups of ``fan_in ** k`` partitions are joined on the executors (:func:`join_all`), a
+  group-by over a few small rows for each round. Each join says what it changes below: a run is absorbed by its
+  left neighbour, a run grows or learns where its successor starts, the versions of an entity are counted on.
+
+Nothing is collected by the driver; memory is bounded by the chunk.
 
 Defined cases: rows without entity or time don't count; of rows with equal entity and time the one with the highest
 sequence number counts; payload arrays compare as sets without nulls, null arrays equal empty ones, null scalars equal
@@ -14,7 +22,6 @@ each other; an entity with one snapshot has one version; an empty input gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandweb.session import checkpointed
 
+#: A chunk ends with the batch that brings it to so many rows or bytes.
+CHUNK_ROWS, CHUNK_BYTES = 1 << 17, 32 << 20
+#: Nodes that one group of a round joins, in ``log2(FAN_IN)`` pairwise rounds.
+FAN_IN = 32
+#: So many rows of changes are broadcast at most (60 bytes each); beyond it the join shuffles.
+BROADCAST_CHANGES = 200_000
+
 
 def as_set(column: Column) -> Column:
     """An array column as a sorted set without nulls; null as the empty set."""
@@ -32,141 +47,208 @@ def as_set(column: Column) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
-def run_starts(differs: np.ndarray) -> np.ndarray:
-    """Positions at which runs start, given for each joint ``i`` whether row ``i`` differs from row ``i - 1``.
+def coalesce(entity: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``(first, last, snapshots, rounds)`` of the runs of equal neighbours: positions of their end rows, and how many they hold.
 
-    Pairwise reduction: in round ``k`` the segments of ``2**k`` rows left and right of every joint ``(2j + 1) * 2**k``
-    become one, their touching runs merging where the joint doesn't differ. ``log2(n)`` vectorised rounds.
+    Rows start as runs of their own. ``segments`` holds where each segment's runs begin; a round joins the segments 0 and 1,
+    2 and 3 and so on. A segment takes part in one joint of a round, so no run is merged twice in it.
     """
-    n = len(differs)
-    starts = np.ones(n, dtype=bool)
-    step = 1
-    while step < n:
-        joints = np.arange(step, n, 2 * step)
-        starts[joints] = differs[joints]
-        step *= 2
-    return np.flatnonzero(starts)
-
-
-def _coalesce(batches: Iterator[pa.RecordBatch], schema: pa.Schema, payload: list[str]) -> Iterator[pa.RecordBatch]:
-    """Runs of one sorted partition; numbers and ``next_from`` are local to it."""
-    from pyspark import TaskContext
+    n = len(entity)
+    first, last, snapshots = np.arange(n), np.arange(n), np.ones(n, np.int64)
+    segments, rounds = np.arange(n), 0
+    while len(segments) > 1:
+        right = segments[1::2]  # runs to the right of the joints
+        a, b = last[right - 1], first[right]
+        merged = right[(entity[a] == entity[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])]
+        segments = segments[0::2]
+        if len(merged):
+            last[merged - 1] = last[merged]
+            snapshots[merged - 1] += snapshots[merged]
+            keep = np.ones(len(first), bool)
+            keep[merged] = False
+            first, last, snapshots = first[keep], last[keep], snapshots[keep]
+            segments = segments - np.searchsorted(merged, segments)
+        rounds += 1
+    return first, last, snapshots, rounds
 
-    part = TaskContext.get().partitionId()
-    pending: dict | None = None  # the run that may still grow: column -> array of one value
-    last: tuple | None = None  # entity and payload hashes of the last row
-    number, first = 0, True
 
-    def rows(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch([columns[f.name].cast(f.type) for f in schema], schema=schema)
+#: A run at the edge of a node, as it goes up the tree. ``leaf`` names the chunk whose last (or only) run it began as.
+EDGE = ("entity", "h1", "h2", "valid_from", "last_seen", "snapshots", "next_from", "number", "leaf")
+
+
+class Node:
+    """A range of the ordered rows: its first run and its last run, which are one run if ``single``."""
+
+    def __init__(self, head: dict, tail: dict, single: bool):
+        self.head, self.tail, self.single = head, tail, single
 
+
+def join(left: Node, right: Node) -> tuple[Node, list[dict], tuple | None]:
+    """The node of both, what changes in the leaves below, and ``(entity, add)`` for the version numbers on the right side."""
+    a, b = left.tail, right.head
+    head, tail, changes, counted = left.head, right.tail, [], None
+    if a["entity"] != b["entity"]:
+        return Node(head, tail, False), changes, counted
+    merged = (a["h1"], a["h2"]) == (b["h1"], b["h2"])
+    grown = dict(a)
+    if merged:
+        changes.append({"leaf": b["leaf"], "absorbed": True})
+        grown.update(last_seen=b["last_seen"], snapshots=a["snapshots"] + b["snapshots"], next_from=None if right.single else b["next_from"])
+        changes.append({"leaf": a["leaf"], "more": b["snapshots"], "seen": b["last_seen"], "next": grown["next_from"]})
+    else:
+        grown["next_from"] = b["valid_from"]
+        changes.append({"leaf": a["leaf"], "next": b["valid_from"]})
+    add = a["number"] - merged
+    if add:
+        counted = (a["entity"], add)
+    if left.single:
+        head = grown
+    if right.single and merged:
+        tail = grown
+    elif tail["entity"] == a["entity"]:
+        tail = dict(tail, number=tail["number"] + add)
+    return Node(head, tail, left.single and right.single and merged), changes, counted
+
+
+def join_all(nodes: list[Node]) -> tuple[Node, list[dict], list[tuple], int]:
+    """Neighbours pairwise until one node is left: it, the changes, ``(child, entity, add)`` counts, and the number of rounds.
+
+    Only children that begin with the entity that is counted on have versions of it.
+    """
+    level = [(n, [i]) for i, n in enumerate(nodes)]
+    changes, counts, rounds = [], [], 0
+    while len(level) > 1:
+        above = []
+        for i in range(0, len(level) - 1, 2):
+            (left, own), (right, others) = level[i], level[i + 1]
+            node, said, counted = join(left, right)
+            changes.extend(said)
+            if counted:
+                counts.extend((c, *counted) for c in others if nodes[c].head["entity"] == counted[0])
+            above.append((node, own + others))
+        if len(level) % 2:
+            above.append(level[-1])
+        level, rounds = above, rounds + 1
+    return level[0][0], changes, counts, rounds
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        entity, time = batch.column("entity"), batch.column("time")
-        h1, h2 = (np.asarray(batch.column(c)) for c in ("h1", "h2"))
-        differs, fresh = np.ones(n, bool), np.ones(n, bool)
-        if n > 1:
-            fresh[1:] = ~np.asarray(pc.equal(entity.slice(1), entity.slice(0, n - 1)).to_numpy(zero_copy_only=False), bool)
-        differs[1:] = fresh[1:] | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        if last is not None:
-            fresh[0] = entity[0].as_py() != last[0]
-            differs[0] = fresh[0] or (int(h1[0]), int(h2[0])) != last[1:]
-        starts = run_starts(differs)
-        if not differs[0]:
-            starts = starts[1:]  # row 0 continues the pending run
-        last = (entity[n - 1].as_py(), int(h1[n - 1]), int(h2[n - 1]))
-        lead = int(starts[0]) if len(starts) else n
-        if pending is not None and lead:
-            pending["snapshots"] = pa.array([pending["snapshots"][0].as_py() + lead])
-            pending["last_seen"] = time.slice(lead - 1, 1)
-        if not len(starts):
-            continue
-        m, ends = len(starts), np.append(starts[1:], n)
-        new, at = fresh[starts], np.arange(len(starts))
-        newest = np.maximum.accumulate(np.where(new, at, -1))
-        numbers = np.where(newest >= 0, at - newest + 1, number + at + 1)
-        number = int(numbers[-1])
-        from_ = time.take(pa.array(starts))
-        after = pa.concat_arrays([from_.slice(1), pa.nulls(1, time.type)])
-        own = {c: batch.column(c).take(pa.array(starts)) for c in ("entity", "h1", "h2", *payload)} | {
-            "valid_from": from_,
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema, payload: list[str], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The runs of each chunk of a sorted partition; numbers and ``next_from`` hold within the chunk."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for chunk, table in enumerate(_chunks(batches, rows, size)):
+        entity = table["entity"].combine_chunks()
+        n = len(entity)
+        fresh = np.ones(n, bool)
+        fresh[1:] = ~np.asarray(pc.equal(entity.slice(1), entity.slice(0, n - 1)).to_numpy(zero_copy_only=False), bool)
+        number_of = np.cumsum(fresh)
+        first, last, snapshots, _ = coalesce(number_of, *(np.asarray(table[c]) for c in ("h1", "h2")))
+        m, at = len(first), np.arange(len(first))
+        new = np.append(True, number_of[first[1:]] != number_of[first[:-1]])
+        opens, time = pa.array(first), table["time"].combine_chunks()
+        begins = time.take(opens)
+        after = pa.concat_arrays([begins.slice(1), pa.nulls(1, time.type)])
+        columns = {c: table[c].take(opens) for c in ("entity", "h1", "h2", *payload)} | {
+            "valid_from": begins,
             "next_from": pc.if_else(pa.array(np.append(new[1:], True)), pa.nulls(m, time.type), after),
-            "last_seen": time.take(pa.array(ends - 1)),
-            "snapshots": pa.array(ends - starts),
-            "number": pa.array(numbers),
-            "head": pa.array((at == 0) & first),
-            "tail": pa.array(np.zeros(m, bool)),
-            "part": pa.array(np.full(m, part, np.int32)),
+            "last_seen": time.take(pa.array(last)),
+            "snapshots": pa.array(snapshots),
+            "number": pa.array(at - np.maximum.accumulate(np.where(new, at, -1)) + 1),
+            "head": pa.array(at == 0),
+            "tail": pa.array(at == m - 1),
+            "part": pa.array(np.full(m, part, np.int64)),
+            "leaf": pa.array(np.full(m, (part << 32) + chunk, np.int64)),
         }
-        first = False
-        if pending is not None:
-            if not new[0]:
-                pending["next_from"] = from_.slice(0, 1)
-            yield from rows(pending)
-        if m > 1:
-            yield from rows({c: a.slice(0, m - 1) for c, a in own.items()})
-        pending = {c: a.slice(m - 1, 1) for c, a in own.items()}
-    if pending is not None:
-        pending["tail"] = pa.array([True])
-        yield from rows(pending)
-
-
-@dataclass
-class _Fix:
-    """What one partition has to change once its neighbours are known."""
-
-    merged: bool = False  # its head run continues the run before
-    offset: int = 0  # versions of the head's entity before this partition, less one if merged
-    head_entity: str | None = None
-    next_from: object = None  # for the tail run
-    last_seen: object = None
-    snapshots: int = 0
-
-
-def _stitch(edges: list) -> dict[int, _Fix]:
-    """Merge the partitions' edge runs in order; one head and one tail row for each partition come in."""
-    parts: dict[int, dict] = {}
-    for r in edges:
-        own = parts.setdefault(r["part"], {})
-        if r["head"]:
-            own["head"] = r
-        if r["tail"]:
-            own["tail"] = r
-    fixes = {p: _Fix() for p in parts}
-    before: dict | None = None  # the run that is open at the edge: owner partition, entity, payload, number
-    for p in sorted(parts):
-        head, tail, fix = parts[p]["head"], parts[p]["tail"], fixes[p]
-        fix.head_entity = head["entity"]
-        fix.last_seen, fix.snapshots = tail["last_seen"], tail["snapshots"]
-        same = before is not None and before["entity"] == head["entity"]
-        if same:
-            fix.merged = (before["h1"], before["h2"]) == (head["h1"], head["h2"])
-            fix.offset = before["number"] - fix.merged
-            owner = fixes[before["owner"]]
-            if fix.merged:
-                owner.last_seen = head["last_seen"]
-                owner.snapshots += head["snapshots"]
-                if not head["tail"]:
-                    owner.next_from = head["next_from"]
-            else:
-                owner.next_from = head["valid_from"]
-        if same and fix.merged and head["tail"]:
-            continue  # the whole partition is one piece of the run that is still open
-        number = tail["number"] + (fix.offset if tail["entity"] == head["entity"] else 0)
-        before = {"owner": p, "entity": tail["entity"], "h1": tail["h1"], "h2": tail["h2"], "number": number}
-    return fixes
+        yield from pa.table([columns[f.name].cast(f.type) for f in schema], schema=schema).combine_chunks().to_batches(max_chunksize=10_000)
+
+
+def _round(schema: pa.Schema) -> object:
+    """For one group of neighbouring nodes: the node above them (its edge runs), and what changes below."""
+
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        above, by_child = key[0].as_py(), {}
+        for row in table.to_pylist():
+            by_child.setdefault(row["child"], []).append(row)
+        children = sorted(by_child)
+        nodes = []
+        for c in children:
+            head = next(r for r in by_child[c] if r["head"])
+            tail = next(r for r in by_child[c] if r["tail"])
+            nodes.append(Node(*({k: r[k] for k in EDGE} for r in (head, tail)), head["tail"]))
+        node, changes, counts, _ = join_all(nodes)
+        out = [{"child": above, "head": True, "tail": node.single, **node.head}]
+        if not node.single:
+            out.append({"child": above, "head": False, "tail": True, **node.tail})
+        out.extend({"change": True, **c} for c in changes)
+        out.extend({"change": True, "below": children[c], "entity": entity, "add": add} for c, entity, add in counts)
+        return pa.table([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
+
+    return joined
+
+
+def rounds_above(partitions: int, fan_in: int = FAN_IN) -> int:
+    """Rounds over groups of partitions until one node is left; the first round joins the chunks of each partition."""
+    rounds, width = 1, 1
+    while width < partitions:
+        rounds, width = rounds + 1, width * fan_in
+    return rounds
+
+
+def _changes(runs: DataFrame, partitions: int, fan_in: int) -> DataFrame:
+    """``leaf, absorbed, offset, more, seen, next, head_entity``: one row for each chunk that its neighbours change.
+
+    ``offset`` is for the versions of the entity that the chunk begins with.
+    """
+    kinds = dict(runs.dtypes)
+    leaves = runs.where("head").select("leaf", "part", F.col("entity").alias("head_entity"))
+    edges = runs.where("head or tail").select(F.col("leaf").alias("child"), "head", "tail", *EDGE)
+    moment = kinds["valid_from"]
+    shape = ", ".join(["child long, head boolean, tail boolean", *(f"{c} {kinds[c]}" for c in EDGE), f"change boolean, absorbed boolean, more long, seen {moment}, next {moment}, below long, add long"])
+    arrow = to_arrow_schema(runs.sparkSession.createDataFrame([], shape).schema)
+    said, counts = [], []
+    for k in range(rounds_above(partitions, fan_in)):
+        above = F.shiftrightunsigned("child", 32) if not k else F.expr(f"child div {fan_in}")
+        joined = checkpointed(edges.groupBy(above.alias("above")).applyInArrow(_round(arrow), shape))
+        edges = joined.where("change is null").select("child", "head", "tail", *EDGE)
+        said.append(joined.where("change and below is null").select("leaf", "absorbed", F.lit(0).cast("long").alias("offset"), "more", "seen", "next"))
+        counted = joined.where("below is not null").select("below", "entity", "add")
+        if not k:  # the children are chunks
+            counts.append(counted.select(F.col("below").alias("leaf"), "add"))
+        else:  # they are groups of partitions: the count is for all chunks in them that begin with the entity
+            width = fan_in ** (k - 1)
+            wide = counted.select(F.explode(F.sequence(F.col("below") * width, F.col("below") * width + (width - 1))).alias("part"), F.col("entity").alias("head_entity"), "add")
+            counts.append(leaves.join(wide, ["part", "head_entity"]).select("leaf", "add"))
+    nothing = [F.lit(None).cast("boolean").alias("absorbed"), F.col("add").alias("offset"), F.lit(None).cast("long").alias("more"), F.lit(None).cast(moment).alias("seen"), F.lit(None).cast(moment).alias("next")]
+    rows = [*said, *(c.select("leaf", *nothing) for c in counts)]
+    united = rows[0]
+    for r in rows[1:]:
+        united = united.unionByName(r)
+    changed = united.groupBy("leaf").agg(F.max("absorbed").alias("absorbed"), F.sum("offset").alias("offset"), F.sum("more").alias("more"), F.max("seen").alias("seen"), F.max("next").alias("next"))
+    return changed.join(leaves.select("leaf", "head_entity"), "leaf")
 
 
 def version_history(
-    df: DataFrame, entity: str, time: str, sequence: str, scalars: list[str], arrays: list[str], carried: list[str] = (), partitions: int | None = None
-) -> DataFrame:
+    df: DataFrame, entity: str, time: str, sequence: str, scalars: list[str], arrays: list[str], carried: list[str] = (),
+    partitions: int | None = None, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES, fan_in: int = FAN_IN,
+) -> DataFrame:
     """Versions of each entity: ``entity, version_no, valid_from, valid_to, opened_by, last_seen, snapshots``, then the
     payload (``scalars`` and ``arrays``) and ``carried`` columns of the row that opened the version.
 
-    ``valid_to`` is the start of the next version, null for the current one. Two shuffles: one aggregation that keeps
-    the counting row of each (entity, time), one range partitioning.
+    ``valid_to`` is the start of the next version, null for the current one. Two shuffles of the rows: one aggregation that keeps
+    the counting row of each (entity, time), one range partitioning; the tree's rounds move two rows of each chunk.
     """
     values = [*scalars, *arrays, *carried]
     sets = [as_set(F.col(c)) for c in arrays]
@@ -177,8 +259,7 @@ def version_history(
     )
     inner = ["opened_by", "h1", "h2", *[f"v_{c}" for c in values]]
     kept = rows.groupBy("entity", "time").agg(F.max_by(F.struct(*inner), F.col("opened_by")).alias("r")).select("entity", "time", "r.*")
-    spread = [partitions] if partitions else []
-    ordered = kept.repartitionByRange(*spread, "entity", "time").sortWithinPartitions("entity", "time")
+    ordered = kept.repartitionByRange(*([partitions] if partitions else []), "entity", "time").sortWithinPartitions("entity", "time")
 
     fields = {f.name: f for f in ordered.schema}
     payload = ["opened_by", *[f"v_{c}" for c in values]]
@@ -186,30 +267,26 @@ def version_history(
     out = T.StructType(
         [fields["entity"], fields["h1"], fields["h2"], *[fields[c] for c in payload]]
         + [T.StructField(c, moment) for c in ("valid_from", "next_from", "last_seen")]
-        + [T.StructField("snapshots", T.LongType()), T.StructField("number", T.LongType()), T.StructField("head", T.BooleanType()), T.StructField("tail", T.BooleanType()), T.StructField("part", T.IntegerType())]
+        + [T.StructField(c, T.LongType()) for c in ("snapshots", "number", "part", "leaf")]
+        + [T.StructField(c, T.BooleanType()) for c in ("head", "tail")]
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(out)
-    runs = checkpointed(ordered.mapInArrow(lambda batches: _coalesce(batches, arrow, payload), out))
-
-    edges = runs.where("head or tail").select("part", "head", "tail", "entity", "h1", "h2", "number", "valid_from", "next_from", "last_seen", "snapshots").collect()
-    fixes = [(p, f.merged, f.offset, f.head_entity, f.next_from, f.last_seen, f.snapshots) for p, f in _stitch(edges).items()]
-    kind = moment.simpleString()
-    name = fields["entity"].dataType.simpleString()
-    fix = df.sparkSession.createDataFrame(fixes, f"part int, merged boolean, offset long, head_entity {name}, f_next {kind}, f_seen {kind}, f_snapshots long")
+    runs = checkpointed(ordered.mapInArrow(lambda batches: _runs(batches, arrow, payload, chunk_rows, chunk_bytes), out))
+    changes = checkpointed(_changes(runs, runs.rdd.getNumPartitions(), fan_in))
+    if changes.count() <= BROADCAST_CHANGES:
+        changes = F.broadcast(changes)
     tail = F.col("tail")
     return (
-        runs.join(F.broadcast(fix), "part")  # one row for each partition
-        .where(~(F.col("head") & F.col("merged")))
+        runs.join(changes, "leaf", "left")
+        .where(~(F.col("head") & F.coalesce("absorbed", F.lit(False))))
         .select(
             F.col("entity").alias(entity),
-            (F.col("number") + F.when(F.col("entity") == F.col("head_entity"), F.col("offset")).otherwise(0)).alias("version_no"),
+            (F.col("number") + F.when(F.col("entity") == F.col("head_entity"), F.coalesce("offset", F.lit(0))).otherwise(0)).alias("version_no"),
             "valid_from",
-            F.when(tail, F.col("f_next")).otherwise(F.col("next_from")).alias("valid_to"),
+            F.when(tail, F.coalesce("next", "next_from")).otherwise(F.col("next_from")).alias("valid_to"),
             "opened_by",
-            F.when(tail, F.col("f_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
-            F.when(tail, F.col("f_snapshots")).otherwise(F.col("snapshots")).alias("snapshots"),
+            F.when(tail, F.coalesce("seen", "last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
+            (F.col("snapshots") + F.when(tail, F.coalesce("more", F.lit(0))).otherwise(0)).alias("snapshots"),
             *[F.col(f"v_{c}").alias(c) for c in values],
         )
     )

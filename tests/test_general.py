@@ -1,5 +1,6 @@
 """Heavy keys, histories and deliveries against brute force, with nulls, ties, repeats, hot keys and empty tables."""
 
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandweb.operators.delivery import first_copies, surplus_copies
 from strandweb.operators.heavy_keys import distinct_members_per_key, rows_per_key, tree_sum, url_host
-from strandweb.operators.history import run_starts, version_history
+from strandweb.operators.history import Node, coalesce, join_all, rounds_above, version_history
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 UPDATES = "update_id long, url string, at timestamp, status int, links array<string>, leaf string, number int"
@@ -43,12 +44,35 @@ def test_host(spark):
     assert rows_per_key(df, url_host(F.col("url"))).count() == 4
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64, 100])
-def test_run_starts(n):
-    differs = np.random.default_rng(n).random(n) < 0.5
-    if n:
-        differs[0] = True
-    assert run_starts(differs).tolist() == np.flatnonzero(differs).tolist()
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64, 100, 5000])
+def test_coalescing_rounds(n):
+    """Runs of equal neighbours by pairwise rounds, as many as the tree is high, against one pass over the rows."""
+    rng = np.random.default_rng(n)
+    entity = np.sort(rng.integers(0, max(1, n // 20), n)) if n else np.zeros(0, np.int64)
+    h1, h2 = rng.integers(0, 2, n), np.zeros(n, np.int64)
+    first, last, snapshots, rounds = coalesce(entity, h1, h2)
+    want = []
+    for i in range(n):
+        if want and (entity[i], h1[i]) == (entity[i - 1], h1[i - 1]):
+            want[-1][1], want[-1][2] = i, want[-1][2] + 1
+        else:
+            want.append([i, i, 1])
+    assert list(map(list, zip(first, last, snapshots))) == want
+    assert rounds == (math.ceil(math.log2(n)) if n > 1 else 0)
+
+
+def test_rounds_of_the_tree():
+    run = lambda i, payload: {"entity": "e", "h1": payload, "h2": 0, "valid_from": i, "last_seen": i, "snapshots": 1, "next_from": None, "number": 1, "leaf": i}
+    nodes = [Node(run(i, i // 10), run(i, i // 10), True) for i in range(37)]
+    top, changes, counts, rounds = join_all(nodes)
+    assert rounds == 6  # ceil(log2(37))
+    assert not top.single and top.tail["number"] == 4 and top.tail["snapshots"] == 7 and top.head["snapshots"] == 10 and top.head["next_from"] == 10
+    assert sorted(c["leaf"] for c in changes if c.get("absorbed")) == [i for i in range(37) if i % 10]
+    offsets = Counter()
+    for child, _, add in counts:
+        offsets[child] += add
+    assert [offsets[i] for i in range(37)] == [i // 10 for i in range(37)]
+    assert [rounds_above(p) for p in (0, 1, 2, 32, 33, 1024, 1025)] == [1, 1, 2, 2, 3, 3, 4]
 
 
 def brute_history(rows):
@@ -70,8 +94,9 @@ def brute_history(rows):
     return sorted(map(tuple, out))
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 17])
-def test_history_with_a_hot_entity(spark, partitions):
+@pytest.mark.parametrize("partitions,limits", [(1, {}), (1, {"chunk_rows": 10}), (3, {}), (17, {"fan_in": 2}), (40, {"fan_in": 3, "chunk_rows": 5})])
+def test_history_with_a_hot_entity(spark, partitions, limits):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if "chunk_rows" in limits else 10_000)
     rnd = random.Random(5)
     rows = []
     for i in range(1500):
@@ -80,8 +105,9 @@ def test_history_with_a_hot_entity(spark, partitions):
         links = rnd.choice([None, [], [None], ["x"], ["x"], ["x", "x"], ["y", "x", None], ["x", "y"]])
         rows.append((i, url, at, rnd.choice([None, 200, 200, 200, 200]), links, "leaf", i))
     df = spark.createDataFrame(rows, UPDATES).repartition(5)
-    got = version_history(df, "url", "at", "update_id", ["status"], ["links"], ["leaf", "number"], partitions=partitions)
+    got = version_history(df, "url", "at", "update_id", ["status"], ["links"], ["leaf", "number"], partitions=partitions, **limits)
     seen = [(r.url, r.version_no, r.valid_from, r.valid_to, r.opened_by, r.last_seen, r.snapshots) for r in got.collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     naive = [tuple(x.replace(tzinfo=None) if isinstance(x, datetime) else x for x in r) for r in brute_history(rows)]
     assert sorted(seen, key=str) == sorted(naive, key=str)
 
