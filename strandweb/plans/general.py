@@ -64,12 +64,12 @@ def _identity() -> dict:
 
 def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "tasks")
-    kept = first_copies(tasks, _identity(), [F.col("msg_no"), F.col("received_at")])
+    kept = first_copies(tasks, _identity(), "msg_no", "received_at")
     return kept.select("msg_no", "batch_no", "received_at", "url", "current_depth", F.col("run.id").alias("run_id"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surplus_copies(table(spark, sf_dir, "tasks"), _identity(), "msg_no")
+    return surplus_copies(table(spark, sf_dir, "tasks"), _identity(), "msg_no", "received_at")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_hosts, p4_link_targets, p6_found, p6_history, p7_found, p7_messages)}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweb.operators.delivery import first_copies, surplus_copies
+from strandweb.operators.delivery import first_copies, packed_rank, surplus_copies
 from strandweb.operators.heavy_keys import distinct_members_per_key, rows_per_key, tree_sum, url_host
 from strandweb.operators.history import Node, coalesce, join_all, rounds_above, version_history
 
@@ -127,12 +127,26 @@ def test_deliveries(spark):
     rows = [(1, "a", 5, "x"), (2, "a", 5, "x"), (3, "a", 6, "x"), (4, None, 5, "x"), (5, "a", None, "x"), (6, "a", 5, None), (7, "b", 1, None), (7, "b", 1, None)]
     df = spark.createDataFrame(rows, "message long, k string, depth int, `key.x` string").repartition(4)
     identity = {"k": F.col("k"), "d": F.col("depth")}
-    assert sorted(r.message for r in first_copies(df, identity, [F.col("message")]).collect()) == [1, 3, 7]
+    assert sorted(r.message for r in first_copies(df, identity, "message").collect()) == [1, 3, 7]
     assert sorted(r.message for r in surplus_copies(df, identity, "message").collect()) == [2, 6]
-    assert first_copies(df.limit(0), identity, [F.col("message")]).count() == 0
+    assert first_copies(df.limit(0), identity, "message").count() == 0
 
 
 def test_hot_message(spark):
     df = spark.range(3000).select(F.col("id").alias("message"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     assert surplus_copies(df, {"k": F.col("k")}, "message").count() == 999
-    assert first_copies(df, {"k": F.col("k")}, [F.col("message")]).count() == 2001
+    assert first_copies(df, {"k": F.col("k")}, "message").count() == 2001
+
+
+def test_rank_of_deliveries(spark):
+    """The packed rank orders like the struct: number, then time with none first; times far off are clamped."""
+    times = [None, datetime(1500, 1, 1), datetime(1969, 12, 31, 23), datetime(2025, 1, 1), datetime(2025, 1, 1, 0, 0, 0, 1), datetime(2500, 1, 1)]
+    numbers = [-(2**63), -5, 0, 7, 2**63 - 1]
+    rows = [(n, t, i * 10 + j) for i, n in enumerate(numbers) for j, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "n long, at timestamp, place long")
+    ranked = df.select("place", packed_rank(df, "n", "at").alias("rank")).orderBy("rank").collect()
+    assert [r.place for r in ranked] == [r[2] for r in rows]
+    same = spark.createDataFrame([(1, T0, "k", x) for x in ("p", "q", "r")], "n long, at timestamp, k string, v string")
+    assert first_copies(same, {"k": F.col("k")}, "n", "at").count() == 1
+    plan = surplus_copies(same, {"k": F.col("k")}, "n", "at")._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
