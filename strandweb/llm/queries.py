@@ -56,10 +56,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: the audit with certainly absent keys, and how many messages the filters alone would get wrong."""
-    messages, report = _seen(spark, sf_dir)
-    counts = messages.agg(F.count(F.lit(1)).alias("taken_for_seen"), F.sum(F.when(F.col("certain"), 0).otherwise(1)).alias("wrongly"))
-    return report.withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+    """One row: the audit with certainly absent keys, the filters' hits, and how many of them the confirmation rejects."""
+    return _seen(spark, sf_dir)[1]
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a key, and how many of them were seen before."""
+    seen_ones = _seen(spark, sf_dir)[0].where("certain").agg(F.count(F.lit(1)).alias("n_seen"))
+    n = table(spark, sf_dir, "tasks").where("run.id is not null and url is not null").count()
+    return seen_ones.select(F.lit(n).cast("long").alias("n_messages"), "n_seen", (F.lit(n) - F.col("n_seen")).alias("n_new"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +123,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir, 0).groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_records, p3_found, p3_error_rate, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile)}
 
 _SETS = """
 WITH sets AS (SELECT page_id, list_sort(list_distinct(links)) AS s FROM page_data WHERE len(list_distinct(links)) >= 5),
@@ -148,6 +153,9 @@ SQL = {
     "p3_found": """SELECT msg_no FROM tasks t WHERE run.id IS NOT NULL AND url IS NOT NULL AND (
             EXISTS (SELECT 1 FROM task_history h WHERE h.run_id = t.run.id AND h.url = t.url)
             OR EXISTS (SELECT 1 FROM tasks o WHERE o.run.id = t.run.id AND o.url = t.url AND o.msg_no < t.msg_no))""",
+    "p3_counts": """WITH k AS (SELECT min(msg_no) AS m, run.id AS r, url AS u, count(*) AS n FROM tasks WHERE run.id IS NOT NULL AND url IS NOT NULL GROUP BY 2, 3)
+        SELECT CAST(sum(n) AS BIGINT) AS n_messages, CAST(sum(n - new) AS BIGINT) AS n_seen, CAST(sum(new) AS BIGINT) AS n_new FROM (
+            SELECT n, CASE WHEN EXISTS (SELECT 1 FROM task_history h WHERE h.run_id = k.r AND h.url = k.u) THEN 0 ELSE 1 END AS new FROM k)""",
     "p5_terms": f"SELECT column_name, term, occurrences, records, records = 1 AS is_rare, records > 0.05 * (SELECT count(*) FROM page_data) AS is_common FROM ({_TERMS})",
     "p5_found": f"""SELECT column_name, term, 'rare' AS mark FROM ({_TERMS}) WHERE records = 1
         UNION ALL SELECT column_name, term, 'common' FROM ({_TERMS}) WHERE records > 0.05 * (SELECT count(*) FROM page_data)""",

@@ -1,18 +1,22 @@
 """Has this key been seen before? Ribbon filters over sealed batches, probed generation by generation.
 
-The keys of the past are generation 0, and the stream of messages is cut, in arrival order, into a fixed number of
-further generations. Within a generation the first message of each key is found by a map-side combined aggregation (a key
-with a third of all rows leaves one row per generation); later ones have certainly been seen. The firsts are routed by key to shards. A
-shard goes through its generations in order: the keys probe the filters of all sealed generations, and those that no
-filter knows are sealed in a new ribbon filter: a banded linear system over GF(2), ``z[s..s+63] . c = fingerprint`` for each
-key's start ``s`` and coefficients ``c``, solved by elimination along the band. A key that a filter knows by mistake needn't
-be added, as the same filter will know it again: there are no false "new" answers.
-
-Only the filters stay in memory, about 1.15 * ``BITS`` bits for each key; the wrong "seen" answers have a rate of about
-generations / 2**BITS. The rate is measured too: keys that are certainly absent probe all filters of each shard.
-
-Defined cases: a null in any part of a key is no key; repeated messages and keys are fine; of several messages with one
-number all but one count as repeats; empty tables give empty results and an audit of no probes.
+1. Each map task drops the repeats of a key within one Arrow batch of messages (a bounded exact set, compared on 128 bits): the smallest
+   message number stands for the key there, and the others have certainly been seen. So a key with a third of all rows sends one
+   row for each batch.
+2. What is left is routed by key to shards and sorted by message number, the keys of the past first.
+3. A shard reads its rows once, in blocks. Every message probes the filters of all sealed generations and the bounded exact
+   set of the keys that wait to be sealed; a key that none of them knows is new and joins that set. When ``SEAL`` keys
+   wait, they are sealed in a ribbon filter: a banded linear system over GF(2), ``z[s..s+63] . c = fingerprint`` for each
+   key's start ``s`` and coefficients ``c``, solved by elimination along the band. A key that a filter knows by mistake needn't be
+   added, as the same filter will know it again: there are no false "new" answers.
+4. Hits, and only they, are confirmed: on all 128 bits, against the first place of their key among all rows.
+
+In memory are a shard's filters, about 1.15 * ``BITS`` bits for each key, its waiting keys and one block. The wrong "seen" answers
+have a rate of about generations / 2**BITS. The rate is measured twice: by the hits that the confirmation rejects, and
+by keys that are certainly absent and probe all filters of each shard.
+
+Defined cases: a null in any part of a key, or no number, is no message; repeated keys are fine; rows with one number and one key
+are one message and get one answer; empty tables give empty results and an audit of no probes.
 """
 
 from __future__ import annotations
@@ -22,15 +26,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandweb.session import checkpointed
 
 BITS, WIDTH = 16, 64
-#: Keys of a shard, about: the rows of one shard are in memory while it is worked on.
-SHARD_KEYS = 200_000
-GENERATIONS = 8
+#: Rows of a shard, about, and keys of a sealed generation.
+SHARD_KEYS, SEAL = 200_000, 32_768
 #: Certainly absent keys that probe each shard.
 AUDIT_KEYS = 20_000
 
@@ -115,52 +120,92 @@ class RibbonFilter:
         return found == fingerprint
 
 
-def _shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema, generations: int, audit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard and generation; a shard is worked on when its rows are complete."""
-
-    def work(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        generation = np.asarray(table["generation"])
-        key = np.asarray(table["k1"]).view(np.uint64)
-        cuts = np.searchsorted(generation, np.arange(generations + 2))
-        filters: list[RibbonFilter] = []
-        absent = mixed(np.arange(audit, dtype=np.uint64), (shard + 1) * 7919)
-        certain = np.ones(audit, bool)
-        for g in range(generations + 1):
-            own = slice(int(cuts[g]), int(cuts[g + 1]))
-            keys = key[own]
-            if not len(keys):
-                continue
-            known = np.zeros(len(keys), bool)
-            for f in filters:
-                known |= f.contains(keys)
-            certain &= ~np.isin(absent, keys)
-            if g and known.any():
-                rows = table.slice(own.start, len(keys)).filter(pa.array(known))
-                columns = {c: rows[c] for c in ("k1", "k2", "generation", "message")} | {"probes": pa.nulls(rows.num_rows, pa.int64()), "wrong": pa.nulls(rows.num_rows, pa.int64())}
-                yield from pa.table([columns[f.name] for f in schema], schema=schema).combine_chunks().to_batches()
-            if (~known).any():
-                filters.append(RibbonFilter(keys[~known]))
-        asked = absent[certain]
-        wrong = np.zeros(len(asked), bool)
+class Shard:
+    """The filters of one shard's sealed generations, and the keys that wait to be sealed."""
+
+    def __init__(self, shard: int, seal: int, audit: int):
+        self.seal = seal
+        self.filters: list[RibbonFilter] = []
+        self.waiting = np.zeros(0, np.uint64)  # sorted
+        self.absent = mixed(np.arange(audit, dtype=np.uint64), (shard + 1) * 7919)
+
+    def seen(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key is known to a filter, waits, or came before in ``keys``; the new ones are kept."""
+        self.absent = self.absent[~np.isin(self.absent, keys)]  # what is left of them is in no filter
+        known = np.isin(keys, self.waiting)
+        for f in self.filters:
+            known |= f.contains(keys)
+        ask = np.flatnonzero(~known)
+        new, first = np.unique(keys[ask], return_index=True)
+        known[ask] = True
+        known[ask[first]] = False
+        self.waiting = np.union1d(self.waiting, new)
+        if len(self.waiting) >= self.seal:
+            self.filters.append(RibbonFilter(self.waiting))
+            self.waiting = np.zeros(0, np.uint64)
+        return known
+
+    def audit(self) -> tuple[int, int]:
+        """Probes of certainly absent keys, and wrong answers; what still waits is sealed for it."""
+        filters = [*self.filters, *([RibbonFilter(self.waiting)] if len(self.waiting) else [])]
+        wrong = np.zeros(len(self.absent), bool)
         for f in filters:
-            wrong |= f.contains(asked)
-        counts = {"probes": len(asked), "wrong": int(wrong.sum())}
-        yield pa.record_batch([pa.array([counts.get(f.name)], f.type) for f in schema], schema=schema)
+            wrong |= f.contains(self.absent)
+        return len(self.absent), int(wrong.sum())
 
-    held: list[pa.RecordBatch] = []
-    current = None
+
+def _shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema, seal: int, audit: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard and message, keys of the past first; out come the messages taken for seen, and each shard's audit."""
+
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = {**{c: table[c] for c in ("k1", "k2", "message", "repeat")}, **{c: pa.nulls(table.num_rows, pa.int64()) for c in ("probes", "wrong")}}
+        yield from pa.table([columns[f.name].cast(f.type) for f in schema], schema=schema).combine_chunks().to_batches()
+
+    def report(own: Shard) -> pa.RecordBatch:
+        counts = dict(zip(("probes", "wrong"), own.audit()))
+        return pa.record_batch([pa.array([counts.get(f.name)], f.type) for f in schema], schema=schema)
+
+    own, current, last = None, None, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        places = np.column_stack([np.asarray(pc.fill_null(batch.column(c), -1).cast(pa.int64())) for c in ("shard", "message", "k1", "k2")])
+        once = np.append(last is None or bool((places[0] != last).any()), (places[1:] != places[:-1]).any(axis=1))
+        last = places[-1]
+        batch = batch.filter(pa.array(once))  # rows of one message are neighbours
         shard = np.asarray(batch.column("shard"))
-        at = 0
-        for cut in [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else []:
-            if held and shard[at] != current:
-                yield from work(current, pa.Table.from_batches(held))
-                held = []
-            current = int(shard[at])
-            held.append(batch.slice(at, cut - at))
-            at = cut
-    if held:
-        yield from work(current, pa.Table.from_batches(held))
+        for begin, end in zip([0, *(cuts := (np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist())], [*cuts, len(shard)]) if len(shard) else []:
+            if current != shard[begin]:
+                if own:
+                    yield report(own)
+                current = int(shard[begin])
+                own = Shard(current, seal, audit)
+            for at in range(begin, end, seal):  # no block is larger than a generation
+                block = pa.Table.from_batches([batch.slice(at, min(seal, end - at))])
+                repeat = np.asarray(block["repeat"])
+                taken = repeat.copy()
+                asks = np.flatnonzero(~repeat)
+                taken[asks] = own.seen(np.asarray(block["k1"]).view(np.uint64)[asks])
+                taken &= np.asarray(block["message"].is_valid())
+                if taken.any():
+                    yield from rows(block.filter(pa.array(taken)))
+    if own:
+        yield report(own)
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch with ``repeat``: whether its key came with a smaller number in the batch. Repeated rows and keys of the past go."""
+    for batch in batches:
+        k1, k2 = (np.asarray(batch.column(c)) for c in ("k1", "k2"))
+        message = np.asarray(pc.fill_null(batch.column("message"), np.iinfo(np.int64).min))
+        order = np.lexsort((message, k2, k1))
+        key = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+        again, once = np.zeros(len(order), bool), np.ones(len(order), bool)
+        again[order[1:]] = key
+        once[order[1:]] = ~(key & (message[order[1:]] == message[order[:-1]]))
+        again &= np.asarray(batch.column("message").is_valid())
+        out = pa.record_batch([*batch.columns, pa.array(again)], [*batch.schema.names, "repeat"])
+        yield out.filter(pa.array(once))
 
 
 def _key(parts: list[Column]) -> list[Column]:
@@ -172,44 +217,43 @@ def _present(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
 
 
-def first_of_generation(history: DataFrame, history_key: list[Column], messages: DataFrame, message: str, message_key: list[Column], generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame]:
-    """``(keyed, firsts)``: the messages that have a key, and ``k1, k2, generation, message`` for each key and generation."""
-    ends = messages.agg(F.min(message), F.max(message)).first()
-    low, high = (ends[0] or 0), (ends[1] or 0)
-    width = max(1, -(-(high - low + 1) // generations))
-    keyed = messages.where(_present(message_key) & F.col(message).isNotNull()).select(F.expr(f"cast((`{message}` - {low}) div {width} + 1 as int)").alias("generation"), F.col(message).alias("message"), *_key(message_key))
-    past = history.where(_present(history_key)).select(F.lit(0).alias("generation"), F.lit(None).cast("long").alias("message"), *_key(history_key))
-    firsts = past.unionByName(keyed).groupBy("k1", "k2", "generation").agg(F.min("message").alias("message"))
-    return keyed, firsts
+def keyed(history: DataFrame, history_key: list[Column], messages: DataFrame, message: str, message_key: list[Column]) -> DataFrame:
+    """``message, k1, k2`` of all rows that have a key; ``message`` is null for the keys of the past."""
+    now = messages.where(_present(message_key) & F.col(message).isNotNull()).select(F.col(message).cast("long").alias("message"), *_key(message_key))
+    past = history.where(_present(history_key)).select(F.lit(None).cast("long").alias("message"), *_key(history_key))
+    return past.unionByName(now)
 
 
-def probe(firsts: DataFrame, generations: int = GENERATIONS, shard_keys: int = SHARD_KEYS, audit: int = AUDIT_KEYS) -> tuple[DataFrame, DataFrame]:
-    """``(known, audit)``: the firsts that a sealed filter knows, and each shard's ``probes`` and ``wrong`` answers."""
-    shards = max(1, -(-firsts.count() // shard_keys))
-    placed = firsts.withColumn("shard", F.pmod(F.xxhash64("k2"), F.lit(shards)).cast("int")).repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "generation")
-    from pyspark.sql.pandas.types import to_arrow_schema
+def probe(rows: DataFrame, shard_keys: int = SHARD_KEYS, seal: int = SEAL, audit: int = AUDIT_KEYS) -> tuple[DataFrame, DataFrame]:
+    """``(taken, audit)``: ``k1, k2, message, repeat`` of the messages taken for seen, and each shard's ``probes`` and ``wrong`` answers.
 
-    shape = "k1 long, k2 long, generation int, message long, probes long, wrong long"
-    schema = to_arrow_schema(firsts.sparkSession.createDataFrame([], shape).schema)
-    answers = checkpointed(placed.mapInArrow(lambda batches: _shards(batches, schema, generations, audit), shape))
+    Repeats within a batch need no probe; they pass through a shard that follows from the message, not from the key.
+    """
+    shards = max(1, -(-rows.count() // shard_keys))
+    combined = rows.mapInArrow(_combined, "message long, k1 long, k2 long, repeat boolean")
+    shard = F.pmod(F.when(F.col("repeat"), F.xxhash64("message")).otherwise(F.xxhash64("k2")), F.lit(shards)).cast("int")
+    placed = combined.withColumn("shard", shard).repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", F.col("message").asc_nulls_first(), "k1", "k2")
+    shape = "k1 long, k2 long, message long, repeat boolean, probes long, wrong long"
+    schema = to_arrow_schema(rows.sparkSession.createDataFrame([], shape).schema)
+    answers = checkpointed(placed.mapInArrow(lambda batches: _shards(batches, schema, seal, audit), shape))
     return answers.where("probes is null").drop("probes", "wrong"), answers.where("probes is not null").select("probes", "wrong")
 
 
 def seen_messages(history: DataFrame, history_key: list[Column], messages: DataFrame, message: str, message_key: list[Column], **limits: int) -> tuple[DataFrame, DataFrame]:
-    """``(seen, report)``: ``message, certain`` of each message that the filters take for seen, and the rates of wrong answers.
+    """``(seen, report)``: ``message, certain`` of each message that was taken for seen, and the rates of wrong answers.
 
-    ``certain`` tells the true ones: later messages of a key's generation, and those whose key is found, on all
-    128 bits, among the keys of earlier generations; the comparison only takes the few that a filter knows.
+    ``certain`` tells the true ones. The report: ``hits`` that had to be confirmed, ``rejected`` ones among them, and the
+    audit (``absent_probes, wrong_answers, wrong_rate``).
     """
-    generations = limits.get("generations", GENERATIONS)
-    keyed, firsts = first_of_generation(history, history_key, messages, message, message_key, generations)
-    firsts = checkpointed(firsts)
-    known, audit = probe(firsts, **limits)
-    later = keyed.select("message").join(firsts.where("generation > 0").select("message"), "message", "left_anti").withColumn("certain", F.lit(True))
-    earlier = firsts.select("k1", "k2", F.col("generation").alias("at"))
-    true = known.join(earlier, ["k1", "k2"]).where("at < generation").select("message").distinct().withColumn("certain", F.lit(True))
-    checked = known.select("message").join(true, "message", "left").withColumn("certain", F.coalesce("certain", F.lit(False)))
-    seen = later.unionByName(checked)
-    report = audit.agg(F.coalesce(F.sum("probes"), F.lit(0)).alias("absent_probes"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong_answers"))
-    report = report.withColumn("wrong_rate", F.when(F.col("absent_probes") > 0, F.col("wrong_answers") / F.col("absent_probes")).otherwise(F.lit(0.0)))
-    return seen, report
+    rows = keyed(history, history_key, messages, message, message_key)
+    taken, audit = probe(rows, **limits)
+    hits = taken.where("not repeat")
+    # The place where a key comes first: below all numbers if it is of the past. One state for each key and map task.
+    first = rows.groupBy("k1", "k2").agg(F.min(F.when(F.col("message").isNull(), F.lit(0)).otherwise(1)).alias("now"), F.min("message").alias("first"))
+    checked = hits.join(first, ["k1", "k2"]).select("message", ((F.col("now") == 0) | (F.col("first") < F.col("message"))).alias("certain"))
+    seen = taken.where("repeat").select("message", F.lit(True).alias("certain")).unionByName(checked)
+    said = audit.select("probes", "wrong", F.lit(0).alias("hits"), F.lit(0).alias("rejected"))
+    said = said.unionByName(checked.select(F.lit(0).cast("long").alias("probes"), F.lit(0).cast("long").alias("wrong"), F.lit(1).alias("hits"), F.when(F.col("certain"), 0).otherwise(1).alias("rejected")))
+    sums = {"absent_probes": "probes", "wrong_answers": "wrong", "hits": "hits", "rejected": "rejected"}
+    report = said.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()])
+    return seen, report.withColumn("wrong_rate", F.when(F.col("absent_probes") > 0, F.col("wrong_answers") / F.col("absent_probes")).otherwise(F.lit(0.0)))

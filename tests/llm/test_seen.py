@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweb.llm.seen import BITS, RibbonFilter, seen_messages
+from strandweb.llm.seen import BITS, RibbonFilter, Shard, seen_messages
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 1000, 70_000])
@@ -23,8 +23,9 @@ def test_ribbon(n):
 HISTORY, TASKS = "run string, url string", "msg_no long, run string, url string, k1 long, generation int"
 
 
-@pytest.mark.parametrize("limits", [{}, {"generations": 3, "shard_keys": 50}, {"generations": 1, "shard_keys": 10**9}])
+@pytest.mark.parametrize("limits", [{}, {"seal": 7, "shard_keys": 50}, {"seal": 1}, {"seal": 100, "shard_keys": 10**9}])
 def test_seen(spark, limits):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20 if limits else 10_000)  # few repeats meet in a batch
     rnd = random.Random(3)
     key = lambda: (rnd.choice(["a", "b", None]), rnd.choice(["hot", "hot", *(f"u{rnd.randrange(150)}" for _ in range(3)), None]))
     history = [key() for _ in range(100)]
@@ -42,6 +43,8 @@ def test_seen(spark, limits):
     assert sorted(r.message for r in rows if r.certain) == want
     assert len({r.message for r in rows}) == len(rows)
     audit = report.first()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert audit.rejected == sum(not r.certain for r in rows) and audit.hits >= len(rows) - len(want)
     assert audit.absent_probes > 0 and audit.wrong_rate < 0.01
 
 
@@ -52,3 +55,26 @@ def test_no_messages(spark):
     one = spark.createDataFrame([(1, "a", "b", 0, 0)], TASKS)
     seen, _ = seen_messages(spark.createDataFrame([("a", "b"), ("a", "b")], HISTORY), [F.col("run"), F.col("url")], one, "msg_no", [F.col("run"), F.col("url")])
     assert [r.message for r in seen.collect()] == [1]
+
+
+def test_every_message_probes(spark, monkeypatch):
+    """Keys that no filter, waiting set or batch knows are new; what the filters take for seen by mistake is rejected."""
+    tasks = [(i, "a", f"u{i}", 0, 0) for i in range(300)] + [(1000 + i, "a", f"u{i}", 0, 0) for i in range(300)] * 2
+    df = spark.createDataFrame(tasks, TASKS).repartition(4)
+    seen, report = seen_messages(spark.createDataFrame([], HISTORY), [F.col("run"), F.col("url")], df, "msg_no", [F.col("run"), F.col("url")], seal=16)
+    rows = seen.collect()
+    assert sorted(r.message for r in rows if r.certain) == list(range(1000, 1300))
+    assert report.first().rejected == sum(not r.certain for r in rows)
+
+
+def test_shard_answers():
+    rng = np.random.default_rng(1)
+    shard, known, wrong = Shard(0, 64, 100), set(), 0
+    for _ in range(40):
+        keys = rng.integers(0, 3000, 50).astype(np.uint64)
+        got = shard.seen(keys)
+        for k, g in zip(keys.tolist(), got.tolist()):
+            assert g or k not in known  # never new by mistake
+            wrong += g and k not in known
+            known.add(k)
+    assert len(shard.filters) > 10 and wrong < 5 and len(shard.waiting) < 64
