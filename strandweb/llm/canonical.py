@@ -9,18 +9,25 @@ only letters and decimal digits (Unicode), in lower case; ``status`` as a number
 texts, without empty ones, null like empty. Other fields of the object are ignored, a field that is missing equals null, and a
 null text differs from an empty one. Of a repeated field the last value counts, as JSON parsers do.
 
-Defined cases: a body that is null, empty, broken or no JSON object is no record and comes out nowhere (``rejected``
-counts them); deep nesting that the parser refuses counts as broken; texts of any length are taken whole.
+It is built by Spark's own JSON and text functions, whole-number statuses included. Bodies that their parser takes for broken or
+for something else than an object, and those with values of unusual types (nested ones, statuses with fractions, exponents or
+as other text), go to :func:`canonical_body`, the same rules in Python: few, unless a source writes nothing else.
+
+Defined cases: a body that is null, empty, broken or no JSON object (trailing text and ``NaN`` included) is no record and comes out
+nowhere; deep nesting that the parser refuses counts as broken; texts of any length are taken whole; a number in a place of text is the
+text of its spelling; numbers of any length keep all digits.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +48,18 @@ class _Kept(dict):
 _KEPT = _Kept()
 
 
+class _Number(str):
+    """A JSON number as it is spelt."""
+
+
+_DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=lambda name: _refuse(name))
+_NUMBER = re.compile(r"[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]{1,4})?")
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
 def canonical_text(value: object) -> str:
     """Letters and decimal digits of a text, in lower case; of another JSON value, those of its JSON text."""
     text = value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)
@@ -49,12 +68,9 @@ def canonical_text(value: object) -> str:
 
 def canonical_number(value: object) -> str:
     """A number in one spelling (200, 200.0, 2e2 and "200" agree); anything else as text, marked."""
-    if isinstance(value, (int, float, str)) and not isinstance(value, bool):
-        try:
-            number = float(value)
-            return str(int(number)) if number == int(number) else repr(number)
-        except (ValueError, OverflowError):
-            pass
+    if isinstance(value, str) and _NUMBER.fullmatch(value.strip(" ")):
+        number = Decimal(value.strip(" "))
+        return format(number.normalize() if number else Decimal(0), "f")
     return "~" + canonical_text(value)
 
 
@@ -63,7 +79,7 @@ def canonical_body(body: str | None) -> str | None:
     if not body:
         return None
     try:
-        record = json.loads(body)
+        record = _DECODER.decode(body)
     except (ValueError, RecursionError):
         return None
     if not isinstance(record, dict):
@@ -87,6 +103,43 @@ def canonical_udf(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([canonical_body(x) for x in body], dtype=object)
 
 
+_BAD = "_corrupt_record"
+_SHAPE = T.StructType([*(T.StructField(f, T.ArrayType(T.StringType()) if f == "links" else T.StringType()) for f in FIELDS), T.StructField(_BAD, T.StringType())])
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "")
+
+
+def native_text(parsed: Column) -> Column:
+    """The canonical text of a parsed body, by built-in functions; null where its values need the rules in Python."""
+    texts = [f for f in FIELDS if f not in ("links", "status")]
+    unusual = r"^([\[{]|-?[0-9]+([.][0-9]|[eE][+-]?[0-9])[0-9eE.+-]*\z)"  # nested values, and numbers that the parser may spell anew
+    nested = [parsed[f].rlike(unusual) for f in texts] + [F.exists(parsed["links"], lambda x: x.rlike(unusual))]
+    status = parsed["status"]
+    usual = parsed[_BAD].isNull() & (status.isNull() | status.rlike(r"^-?[0-9]{1,18}\z"))
+    for n in nested:
+        usual = usual & ~F.coalesce(n, F.lit(False))
+    links = F.transform(F.filter(parsed["links"], lambda x: x.isNotNull()), _letters)
+    links = F.array_join(F.array_sort(F.array_distinct(F.filter(links, lambda x: x != ""))), " ")
+    parts = {f: F.coalesce(_letters(parsed[f]), F.lit("-")) for f in texts}
+    parts |= {"status": F.coalesce(F.when(usual, status).cast("long").cast("string"), F.lit("-")), "links": F.coalesce(links, F.lit(""))}
+    return F.when(usual, F.concat_ws("|", *[parts[f] for f in FIELDS]))
+
+
+def canonical_of(df: DataFrame, body: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the canonical text of the column ``body``, or null if that is no record."""
+    # The parser of from_json stops before text after the object. In brackets such text makes the array longer or invalid, or,
+    # if it closes the array, hides the next element.
+    length = lambda tail: F.json_array_length(F.concat(F.lit("["), F.col(body), F.lit(tail)))
+    alone = (length("]") == 1) & (length(",0]") == 2)
+    sure = df.withColumn("__parsed", F.when(F.coalesce(alone, F.lit(False)) & F.col(body).rlike(r"^\s*\{"), F.from_json(F.col(body), _SHAPE, _STRICT)))
+    sure = sure.withColumn("__native", F.when(F.col("__parsed").isNotNull(), native_text(F.col("__parsed")))).drop("__parsed")
+    rest = canonical_udf(F.when(F.col("__native").isNull(), F.col(body)))
+    return sure.withColumn(name, F.coalesce("__native", rest)).drop("__native")
+
+
 def collapse(df: DataFrame, record: str, body: str) -> tuple[DataFrame, DataFrame]:
     """``(records, spellings)``: ``first, canonical, copies`` for each record; ``body_key, canonical`` for each distinct body.
 
@@ -94,7 +147,7 @@ def collapse(df: DataFrame, record: str, body: str) -> tuple[DataFrame, DataFram
     """
     rows = df.select(F.col(record).alias("record"), F.col(body).alias("body")).where(F.col("record").isNotNull() & F.col("body").isNotNull())
     survivors = rows.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("first"))
-    survivors = survivors.select(F.unhex(F.md5("body")).alias("body_key"), "n", "first", canonical_udf("body").alias("canonical"))
+    survivors = canonical_of(survivors, "body", "canonical").select(F.unhex(F.md5("body")).alias("body_key"), "n", "first", "canonical")
     survivors = checkpointed(survivors).where(F.col("canonical").isNotNull())
     records = survivors.groupBy("canonical").agg(F.min("first").alias("first"), F.sum("n").alias("copies"))
     return records, survivors.select("body_key", "canonical")
