@@ -123,7 +123,14 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir, 0).groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile)}
+def p10_word_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The informative words of the graded English texts, with their acquisition grades in thousandths."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_labels")
+    rows = reading.graded(documents.where(F.lower("lang").startswith("en")), "doc_id", "text", labels, "doc_id", "grade")
+    return reading.word_grades(checkpointed(rows)).select("word", "n_texts", F.round(F.col("grade") * 1000).cast("int").alias("grade_milli"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile, p10_word_grades)}
 
 _SETS = """
 WITH sets AS (SELECT page_id, list_sort(list_distinct(links)) AS s FROM page_data WHERE len(list_distinct(links)) >= 5),
@@ -167,4 +174,11 @@ SQL = {
         u AS (SELECT side, id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM w),
         g AS (SELECT side, id, string_agg(t, ' ') OVER r AS gram FROM u WINDOW r AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) QUALIFY count(*) OVER r = 13)
         SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e USING (gram) WHERE d.side = 0 AND e.side = 1""",
+    "p10_word_grades": f"""WITH l AS (SELECT doc_id, {', '.join(f'avg(CASE WHEN grade = {k} THEN 1.0 ELSE 0.0 END) AS v{k}' for k in range(1, 6))} FROM grade_labels WHERE grade BETWEEN 1 AND 5 GROUP BY 1),
+        d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w, {', '.join(f'v{k}' for k in range(1, 6))} FROM documents JOIN l USING (doc_id) WHERE lower(lang) LIKE 'en%' AND text <> ''),
+        t AS (SELECT {', '.join(f'sum(v{k}) + 1 AS t{k}' for k in range(1, 6))} FROM d),
+        u AS (SELECT word, count(*) AS n_texts, {', '.join(f'sum(v{k}) + 0.02 AS v{k}' for k in range(1, 6))} FROM (SELECT unnest(w) AS word, * EXCLUDE (w) FROM d) GROUP BY 1 HAVING count(*) >= 4),
+        s AS (SELECT word, n_texts, {', '.join(f'v{k} / t{k} AS s{k}' for k in range(1, 6))}, {' + '.join(f'v{k} / t{k}' for k in range(1, 6))} AS s FROM u, t),
+        p AS (SELECT word, n_texts, {', '.join(f's{k} / s AS p{k}' for k in range(1, 6))} FROM s)
+        SELECT word, n_texts, CAST(round(({' + '.join(f'{k} * p{k}' for k in range(1, 6))}) * 1000) AS INTEGER) AS grade_milli FROM p WHERE -({' + '.join(f'p{k} * ln(p{k})' for k in range(1, 6))}) <= 0.85 * ln(5)""",
 }

@@ -9,8 +9,8 @@ Fitting, over a bounded number of graded texts (``MOST_GRADED``, the ones with t
 3. For each step from level ``k - 1`` to ``k`` a logistic curve over these features is calibrated on the graded texts.
 
 The level of a document is 1 plus the number of steps that are more likely taken than not. Every document is read whole; one
-pass, no shuffle: the word grades that are broadcast are bounded by the graded texts' vocabulary (``MOST_WORDS``, the most
-used).
+pass, no shuffle. The word grades that are broadcast are bounded by the vocabulary of at most ``MOST_GRADED`` texts; all its
+informative words count.
 
 Defined cases: null, empty and wordless texts have no level (null); so have texts with fewer than ``LEAST_KNOWN`` known words,
 as there is nothing to estimate from; null grades are no votes, graders' differences are averaged; without any grades no text has a
@@ -20,6 +20,7 @@ level; repeated labels count as votes.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from strandweb.session import checkpointed
 
 LEVELS = 5
-#: Graded texts and words that a model is fitted on and holds, at most.
-MOST_GRADED, MOST_WORDS = 20_000, 200_000
+#: Graded texts that a model is fitted on, at most.
+MOST_GRADED = 20_000
 #: Graded texts that must use a word, and known words that a text must have.
 LEAST_TEXTS, LEAST_KNOWN = 4, 5
 #: A word is known if the entropy of its distribution over levels is below this share of the largest.
@@ -41,6 +42,8 @@ INFORMATIVE = 0.85
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 #: Word grades are kept in 250 steps, one byte each; 0 is an unknown word.
 STEPS = 250
+#: Texts whose histograms are described at a time.
+ROWS = 2048
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,14 +63,17 @@ class ReadingModel:
         words = words_of(text)
         return np.bincount(np.frombuffer(bytes(map(self.codes.get, words, itertools.repeat(0))), np.uint8), minlength=STEPS + 1)[1:]
 
-    def level(self, text: str | None) -> int | None:
-        if not text:
-            return None
-        counts = self.histogram(text)
-        if counts.sum() < LEAST_KNOWN or not len(self.weights):
-            return None
-        x = (features(counts[None, :])[0] - self.center) / self.scale
-        return 1 + int((self.weights[:, 0] + self.weights[:, 1:] @ x > 0).sum())
+    def levels(self, texts: list[str | None]) -> list[int | None]:
+        """The levels of some texts, described together."""
+        if not len(self.weights):
+            return [None] * len(texts)
+        counts = np.zeros((len(texts), STEPS), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                counts[i] = self.histogram(text)
+        x = (features(counts) - self.center) / self.scale
+        steps = (self.weights[:, :1] + self.weights[:, 1:] @ x.T > 0).sum(axis=0)
+        return [1 + int(n) if k else None for n, k in zip(steps, counts.sum(axis=1) >= LEAST_KNOWN)]
 
 
 _GRADES = 1 + (np.arange(STEPS) + 0.5) * (LEVELS - 1) / STEPS
@@ -81,17 +87,26 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([*quantiles, (counts * _GRADES).sum(axis=1) / np.maximum(total[:, 0], 1)])
 
 
-def word_grades(uses: dict[str, np.ndarray], texts: np.ndarray) -> dict[str, int]:
-    """Codes of the informative words. ``uses``: summed votes per level of the texts with the word; ``texts``: of all."""
-    codes = {}
-    for word, own in uses.items():
-        if own.sum() < LEAST_TEXTS:
-            continue
-        share = (own + 0.02) / (texts + 1)
-        p = share / share.sum()
-        if -(p * np.log(p)).sum() <= INFORMATIVE * np.log(LEVELS):
-            codes[word] = 1 + min(STEPS - 1, int(((p * np.arange(1, LEVELS + 1)).sum() - 1) / (LEVELS - 1) * STEPS))
-    return codes
+def word_grades(rows: DataFrame) -> DataFrame:
+    """``word, n_texts, grade`` of the informative words of :func:`graded` rows."""
+
+    @F.pandas_udf("array<string>")
+    def vocabulary(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set(words_of(t))) for t in texts], dtype=object)
+
+    levels = range(1, LEVELS + 1)
+    total = rows.agg(*[F.coalesce(F.sum(F.col("votes")[k - 1]), F.lit(0.0)) for k in levels]).first()
+    uses = rows.select(F.explode(vocabulary("text")).alias("word"), "votes").groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"), *[F.sum(F.col("votes")[k - 1]).alias(f"v{k}") for k in levels])
+    shares = uses.where(F.col("n_texts") >= LEAST_TEXTS).select("word", "n_texts", *[((F.col(f"v{k}") + 0.02) / F.lit(total[k - 1] + 1)).alias(f"s{k}") for k in levels])
+    whole = sum((F.col(f"s{k}") for k in levels), F.lit(0.0))
+    p = shares.select("word", "n_texts", *[(F.col(f"s{k}") / whole).alias(f"p{k}") for k in levels])
+    entropy = -sum((F.col(f"p{k}") * F.log(F.col(f"p{k}")) for k in levels), F.lit(0.0))
+    return p.where(entropy <= INFORMATIVE * math.log(LEVELS)).select("word", "n_texts", sum((F.col(f"p{k}") * k for k in levels), F.lit(0.0)).alias("grade"))
+
+
+def code_of(grade: float) -> int:
+    """A grade as one of ``STEPS`` codes."""
+    return 1 + min(STEPS - 1, int((grade - 1) / (LEVELS - 1) * STEPS))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -123,25 +138,19 @@ def fit_documents(documents: DataFrame, record: str, text: str, labels: DataFram
     their words' counts and their features, never the texts."""
     rows = checkpointed(graded(documents, record, text, labels, label_record, grade, most))
 
-    @F.pandas_udf("array<string>")
-    def vocabulary(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(set(words_of(t))) for t in texts], dtype=object)
-
-    per_word = (
-        rows.select(F.explode(vocabulary("text")).alias("w"), "votes").groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("votes")[k]).alias(f"v{k}") for k in range(LEVELS)])
-        .where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
-    )
-    uses = {r["w"]: np.array([r[f"v{k}"] for k in range(LEVELS)]) for r in per_word.collect()}
-    total = np.array([s or 0.0 for s in rows.agg(*[F.sum(F.col("votes")[k]) for k in range(LEVELS)]).first()])
-    model = ReadingModel(word_grades(uses, total), np.zeros(len(QUANTILES) + 1), np.ones(len(QUANTILES) + 1), np.zeros((0, len(QUANTILES) + 2)))
+    codes = {r["word"]: code_of(r["grade"]) for r in word_grades(rows).collect()}  # bounded by the texts' vocabulary
+    model = ReadingModel(codes, np.zeros(len(QUANTILES) + 1), np.ones(len(QUANTILES) + 1), np.zeros((0, len(QUANTILES) + 2)))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def described(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in texts:
-            counts = np.array([shared.value.histogram(t) for t in column]).reshape(-1, STEPS)
-            known = counts.sum(axis=1) >= LEAST_KNOWN
-            yield pd.Series([f.tolist() if k else None for f, k in zip(features(counts), known)], dtype=object)
+            out: list = []
+            for at in range(0, len(column), ROWS):
+                counts = np.array([shared.value.histogram(t) for t in column.iloc[at : at + ROWS]]).reshape(-1, STEPS)
+                known = counts.sum(axis=1) >= LEAST_KNOWN
+                out.extend(f.tolist() if k else None for f, k in zip(features(counts), known))
+            yield pd.Series(out, dtype=object)
 
     known = rows.select(described("text").alias("x"), "votes").where("x is not null").collect()
     if known:
@@ -164,6 +173,10 @@ def with_levels(documents: DataFrame, text: str, model: ReadingModel, least_word
     def estimate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         for column in texts:
-            yield pd.Series([model.level(t) if t and (not least_words or len(t.split(None, least_words)) >= least_words) else None for t in column], dtype="Int32")
+            out: list = []
+            for at in range(0, len(column), ROWS):
+                texts = column.iloc[at : at + ROWS]
+                out.extend(model.levels([t if t and (not least_words or len(t.split(None, least_words)) >= least_words) else None for t in texts]))
+            yield pd.Series(out, dtype="Int32")
 
     return documents.withColumn(name, estimate(F.col(text)))

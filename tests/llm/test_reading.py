@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from strandweb.llm.reading import features, fit_documents, with_levels, word_grades
+from pyspark.sql import functions as F
+
+from strandweb.llm.reading import code_of, features, fit_documents, with_levels, word_grades
 
 DOCS, LABELS = "doc_id long, text string, level string", "doc_id long, grader string, grade int"
 OWN = {g: [f"{stem}{'abcdefghij'[g]}" for stem in ("lor", "mip", "sud", "dol", "ame", "con", "sec", "adi")] for g in range(1, 6)}
@@ -55,11 +57,36 @@ def test_no_labels(spark, corpus):
     assert fit_documents(docs.limit(0), "doc_id", "text", labels, "doc_id", "grade").codes == {}
 
 
-def test_word_grades():
-    texts = np.full(5, 100.0)
-    uses = {"easy": np.array([50.0, 5, 0, 0, 0]), "hard": np.array([0, 0, 0, 10.0, 60]), "any": np.full(5, 30.0), "once": np.array([1.0, 0, 0, 0, 0])}
-    codes = word_grades(uses, texts)
-    assert set(codes) == {"easy", "hard"} and codes["easy"] < 60 < 190 < codes["hard"]
+def test_word_grades(spark):
+    rows = [("easy any", [0.9, 0.1, 0.0, 0.0, 0.0])] * 50 + [("hard any", [0.0, 0.0, 0.0, 0.1, 0.9])] * 50 + [("once", [1.0, 0.0, 0.0, 0.0, 0.0])] + [("any", [0.0, 0.5, 0.5, 0.0, 0.0])] * 50
+    got = {r.word: (r.n_texts, code_of(r.grade)) for r in word_grades(spark.createDataFrame(rows, "text string, votes array<double>")).collect()}
+    assert set(got) == {"easy", "hard"} and got["easy"][0] == 50 and got["easy"][1] < 60 < 190 < got["hard"][1]
+
+
+def test_no_word_is_left_out(spark):
+    """All informative words of the graded texts count, however many they are."""
+    rows = [(" ".join(f"w{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}{'xyz'[j]}" for k in range(100)), [float(j == i) for i in range(5)]) for j in range(3) for _ in range(4)]
+    assert word_grades(spark.createDataFrame(rows, "text string, votes array<double>")).count() == 300
+
+
+def test_batches_agree(spark, corpus, monkeypatch):
+    docs, labels, _ = corpus
+    model = fit_documents(docs, "doc_id", "text", labels, "doc_id", "grade")
+    texts = [r.text for r in docs.limit(60).collect()] + [None, "", "lorb"]
+    assert model.levels(texts) == [model.levels([t])[0] for t in texts]
+
+
+def test_held_out_accuracy_on_documents(spark):
+    """Half of the graded documents of a table fit the model, the others judge it, where their graders agree."""
+    sf_dir = "/root/testdata/sf0.1"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lower(lang) like 'en%'")
+    labels = spark.read.parquet(f"{sf_dir}/grade_labels.parquet").where("grade is not null")
+    model = fit_documents(documents, "doc_id", "text", labels.where("pmod(xxhash64(doc_id), 2) = 0"), "doc_id", "grade")
+    agreed = labels.where("pmod(xxhash64(doc_id), 2) = 1").groupBy("doc_id").agg(F.min("grade").alias("low"), F.max("grade").alias("high")).where("low = high")
+    rows = with_levels(documents.join(agreed, "doc_id"), "text", model).where("level is not null").select("low", "level").collect()
+    exact, demanding = np.mean([r.low == r.level for r in rows]), np.mean([(r.low >= 4) == (r.level >= 4) for r in rows])
+    print(f"held out: {len(rows)} texts, exact {exact:.4f}, level 4 or 5 {demanding:.4f}")
+    assert len(rows) > 200 and exact > 0.9 and demanding > 0.97
 
 
 def test_features():
