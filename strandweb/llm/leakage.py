@@ -4,12 +4,13 @@ The test items' words get codes, their windows of ``n`` words go into a hash set
 text is scanned once: its words are coded, windows with a word that no item has are skipped, the others' hashes are looked
 up, and hits are verified on the words themselves. The corpus isn't shuffled at all.
 
-The broadcast is bounded: items are taken in blocks of at most ``MOST_WINDOWS`` windows, and the corpus is scanned once for
-each block, so any number of items works.
+The broadcast is bounded: items are taken in blocks of at most ``MOST_WINDOWS`` windows (a longer item is cut into overlapping
+pieces), and the corpus is scanned once for each block, so any number of items works. Cleaning gathers the hits of all blocks in the
+original texts and then cuts once, so its result doesn't depend on the blocks.
 
 Words are longest runs of letters and digits (Unicode), in lower case. Defined cases: null and empty texts, and those with
 fewer than ``n`` words, leak nothing; an item found several times in a text is one leak; items with equal passages all
-leak; repeated rows of the corpus each come out once per id and item; texts are scanned whole.
+leak; ids are of any type; of several rows with one id, of the corpus or of the items, the leaks count together; texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from strandweb.session import checkpointed
 
 WINDOW = 13
 #: Windows of test items in one broadcast (about 50 MB with their words).
@@ -39,18 +42,17 @@ def words_of(text: str) -> list[str]:
 
 
 class ItemWindows:
-    """The windows of a block of test items."""
+    """The windows of a block of test items, which are given as lists of words; ``ids`` are theirs, ``owner`` their places."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n, self.codes = n, {}
+    def __init__(self, items: list[tuple[object, list[str]]], n: int):
+        self.n, self.codes, self.ids = n, {}, [item for item, _ in items]
         starts, owners, coded = [], [], []
         length = 0
-        for item, text in items:
-            words = words_of(text)
+        for place, (_, words) in enumerate(items):
             if len(words) >= n:
                 coded.extend(self.codes.setdefault(w, len(self.codes) + 1) for w in words)
                 starts.extend(range(length, length + len(words) - n + 1))
-                owners.extend([item] * (len(words) - n + 1))
+                owners.extend([place] * (len(words) - n + 1))
                 length += len(words)
         self.words = np.array(coded, np.int32)
         self.powers = np.array([pow(_FACTOR, j + 1, 1 << 64) for j in range(n)], np.uint64)
@@ -66,7 +68,7 @@ class ItemWindows:
         return out
 
     def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """``(positions, items)`` of the text's windows that are an item's too; positions count words."""
+        """``(positions, places)`` of the text's windows that are an item's too; positions count words, places the block's items."""
         none = np.zeros(0, np.int64)
         words = words_of(text)
         if len(words) < self.n:
@@ -91,87 +93,119 @@ class ItemWindows:
         return position[same], self.owner[match[same]]
 
 
-def _blocks(items: DataFrame, item: str, text: str, n: int, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, one at a time on the driver."""
-    known = items.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+def _blocks(items: DataFrame, item: str, text: str, n: int, most: int) -> Iterator[list[tuple[object, list[str]]]]:
+    """The items' words in blocks of at most ``most`` windows, one block at a time on the driver."""
+    known = items.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-total // (2 * most)))  # a window has at least two characters more than the one before
+    parts = max(1, -(-total // (4 * most)))
     for p in range(parts):
-        rows = known.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p) if parts > 1 else known
-        block = [(r["item"], r["text"]) for r in rows.collect()]
+        rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p) if parts > 1 else known
+        block, windows = [], 0
+        for row in rows.toLocalIterator():
+            words = words_of(row["text"])
+            for at in range(0, len(words) - n + 1, most):
+                piece = words[at : at + most + n - 1]
+                own = len(piece) - n + 1
+                if block and windows + own > most:
+                    yield block
+                    block, windows = [], 0
+                block.append((row["item"], piece))
+                windows += own
         if block:
             yield block
 
 
 def leaks(corpus: DataFrame, record: str, text: str, items: DataFrame, item: str, item_text: str, n: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
-    """``record, item, windows``: each text and item with a window in common, and the number of such windows in the text."""
-    kind = corpus.schema[record].dataType.simpleString()
+    """``record, item, windows``: each text and item with a window in common, and the number of the text's windows that are the item's."""
+    kinds = [corpus.schema[record].dataType, items.schema[item].dataType]
     rows = corpus.select(F.col(record).alias("record"), F.col(text).alias("text")).where(F.col("record").isNotNull() & F.col("text").isNotNull())
-    context = corpus.sparkSession.sparkContext
-    out = None
+    shape = f"record {kinds[0].simpleString()}, item {kinds[1].simpleString()}, windows long"
+    out = corpus.sparkSession.createDataFrame([], shape)
+    item_type = to_arrow_type(kinds[1])
     for block in _blocks(items, item, item_text, n, most):
-        shared = context.broadcast(ItemWindows(block, n))
+        shared = corpus.sparkSession.sparkContext.broadcast(ItemWindows(block, n))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = shared.value
+            ids = pa.array(windows.ids, item_type)
             for batch in batches:
-                at, items, counts = [], [], []
+                at, places, counts = [], [], []
                 for i, t in enumerate(batch.column("text").to_pylist()):
-                    _, own = windows.hits(t)
+                    position, own = windows.hits(t)
                     if len(own):
-                        ids, n_own = np.unique(own, return_counts=True)
-                        at.extend([i] * len(ids))
-                        items.extend(ids.tolist())
+                        found, n_own = np.unique(np.unique(np.stack([own, position]), axis=1)[0], return_counts=True)
+                        at.extend([i] * len(found))
+                        places.extend(found.tolist())
                         counts.extend(n_own.tolist())
-                yield pa.record_batch([batch.column("record").take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(counts, pa.int64())], ["record", "item", "windows"])
+                yield pa.record_batch([batch.column("record").take(pa.array(at, pa.int64())), ids.take(pa.array(places, pa.int64())), pa.array(counts, pa.int64())], ["record", "item", "windows"])
 
-        found = rows.mapInArrow(scan, f"record {kind}, item long, windows long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.select("record", F.lit(0).cast("long").alias("item"), F.lit(0).cast("long").alias("windows")).limit(0)
-    return out
+        out = out.unionByName(rows.mapInArrow(scan, shape))
+    return out.groupBy("record", "item").agg(F.sum("windows").alias("windows"))
 
 
-def without_leaks(corpus: DataFrame, text: str, items: DataFrame, item: str, item_text: str, n: int = WINDOW, whole: bool = False, most: int = MOST_WINDOWS) -> DataFrame:
-    """``corpus`` without the leaked spans of ``text`` (or, with ``whole``, without the rows that have any).
+#: So many texts' spans are broadcast at most, and so many positions; beyond it the join shuffles.
+BROADCAST_TEXTS, BROADCAST_POSITIONS = 50_000, 5_000_000
 
-    A span reaches from the first to the last word of overlapping windows. Rows without text stay as they are.
-    """
-    context = corpus.sparkSession.sparkContext
-    out = corpus
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def leaked_positions(corpus: DataFrame, text: str, items: DataFrame, item: str, item_text: str, n: int, most: int) -> DataFrame:
+    """``digest, positions``: the first words of the leaked windows of each different text that has any, over all blocks."""
+    rows = corpus.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    out = corpus.sparkSession.createDataFrame([], "text_key binary, position long")
     for block in _blocks(items, item, item_text, n, most):
-        shared = context.broadcast(ItemWindows(block, n))
-        out = out.where(~_leaked(shared)(F.col(text))) if whole else out.withColumn(text, _cleaned(shared)(F.col(text)))
-    return out
+        shared = corpus.sparkSession.sparkContext.broadcast(ItemWindows(block, n))
 
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, positions = [], []
+                for i, t in enumerate(batch.column("text").to_pylist()):
+                    own = np.unique(shared.value.hits(t)[0])
+                    at.extend([i] * len(own))
+                    positions.extend(own.tolist())
+                yield pa.record_batch([batch.column("text_key").take(pa.array(at, pa.int64())), pa.array(positions, pa.int64())], ["text_key", "position"])
 
-def _leaked(shared: Broadcast) -> Callable[[Column], Column]:
-    @F.pandas_udf("boolean")
-    def leaked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in texts:
-            yield pd.Series([t is not None and len(shared.value.hits(t)[0]) > 0 for t in column], dtype=bool)
+        out = out.unionByName(rows.select("text", _digest(F.col("text")).alias("text_key")).mapInArrow(scan, "text_key binary, position long"))
+    return out.groupBy(F.col("text_key").alias("digest")).agg(F.collect_set("position").alias("positions"))  # no more than the text's words
 
-    return leaked
 
+def without_leaks(corpus: DataFrame, text: str, items: DataFrame, item: str, item_text: str, n: int = WINDOW, whole: bool = False, most: int = MOST_WINDOWS) -> DataFrame:
+    """``corpus`` without the leaked spans of ``text`` (or, with ``whole``, without the rows that have any).
 
-def _cleaned(shared: Broadcast) -> Callable[[Column], Column]:
+    A span reaches from the first to the last word of overlapping windows, whichever items they are of. Rows without text stay as they are.
+    """
+    found = checkpointed(leaked_positions(corpus, text, items, item, item_text, n, most))
+    texts, positions = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()
+    if texts <= BROADCAST_TEXTS and positions <= BROADCAST_POSITIONS:
+        found = F.broadcast(found)
+    keyed = corpus.withColumn("__digest", _digest(F.col(text)))
+    joined = keyed.join(found.select(F.col("digest").alias("__digest"), F.col("positions").alias("__positions")), "__digest", "left")
+    if whole:
+        return joined.where(F.col("__positions").isNull()).select(*[F.col(f"`{c}`") for c in corpus.columns])
+    # Only texts with a hit go to Python and come back.
+    cleaned = F.when(F.col("__positions").isNull(), F.col(text)).otherwise(_cleaned(n)(F.when(F.col("__positions").isNotNull(), F.col(text)), F.col("__positions")))
+    return joined.withColumn("__text", cleaned).select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in corpus.columns])
+
+
+def _cleaned(n: int) -> Callable[[Column, Column], Column]:
     @F.pandas_udf("string")
-    def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in texts:
-            yield pd.Series([None if t is None else cut(t, shared.value) for t in column], dtype=object)
+    def cleaned(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, positions in columns:
+            yield pd.Series([None if t is None else cut(t, np.asarray(p, np.int64), n) for t, p in zip(texts, positions)], dtype=object)
 
     return cleaned
 
 
-def cut(text: str, windows: ItemWindows) -> str:
-    """``text`` without its leaked spans."""
-    position, _ = windows.hits(text)
+def cut(text: str, position: np.ndarray, n: int) -> str:
+    """``text`` without the windows of ``n`` words that begin at the positions."""
     if not len(position):
         return text
     spans = [m.span() for m in _WORD.finditer(text)]
     drop = np.zeros(len(spans) + 1, np.int32)
     np.add.at(drop, position, 1)
-    np.add.at(drop, position + windows.n, -1)
+    np.add.at(drop, position + n, -1)
     inside = np.cumsum(drop[:-1]) > 0
     parts, at, i = [], 0, 0
     while i < len(spans):

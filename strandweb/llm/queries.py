@@ -102,9 +102,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the leaked spans: what is left of each, as length and hash."""
+    """All documents without the leaked spans: the words that are left of each, as number and hash."""
     clean = leakage.without_leaks(_documents(spark, sf_dir), "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
-    return clean.select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("digest"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return clean.select("doc_id", F.size(words).alias("n_words_left"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
 def _levels(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
@@ -149,6 +150,10 @@ canon AS (
 )"""
 _TERMS = """SELECT 'links' AS column_name, term, count(*) AS occurrences, count(DISTINCT page_id) AS records FROM (SELECT page_id, unnest(links) AS term FROM page_data) WHERE term IS NOT NULL GROUP BY 2
         UNION ALL SELECT 'content_type', content_type, count(*), count(*) FROM page_data WHERE content_type <> '' GROUP BY 2"""
+_GRAMS = """w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+            UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM eval_items),
+        u AS (SELECT side, id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM w),
+        g AS (SELECT side, id, i, string_agg(t, ' ') OVER r AS gram FROM u WINDOW r AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) QUALIFY count(*) OVER r = 13)"""
 SQL = {
     "p1_found": _SETS + " SELECT a AS page_id_a, b AS page_id_b FROM sim",
     "p1_classes": _SETS
@@ -169,11 +174,10 @@ SQL = {
     "p5_link_pairs": """WITH p AS (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM page_data),
         n AS (SELECT page_id, links[i] AS a, '' AS b FROM p WHERE links[i] IS NOT NULL UNION ALL SELECT page_id, links[i], links[i + 1] FROM p WHERE links[i] IS NOT NULL AND links[i + 1] IS NOT NULL)
         SELECT a AS first_link, b AS next_link, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM n GROUP BY 1, 2""",
-    "p9_found": """WITH w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
-            UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM eval_items),
-        u AS (SELECT side, id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM w),
-        g AS (SELECT side, id, string_agg(t, ' ') OVER r AS gram FROM u WINDOW r AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) QUALIFY count(*) OVER r = 13)
-        SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e USING (gram) WHERE d.side = 0 AND e.side = 1""",
+    "p9_found": f"WITH {_GRAMS} SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e USING (gram) WHERE d.side = 0 AND e.side = 1",
+    "p9_clean": f"""WITH {_GRAMS}, h AS (SELECT DISTINCT id, i FROM g WHERE side = 0 AND gram IN (SELECT gram FROM g WHERE side = 1)), c AS (SELECT DISTINCT id, unnest(range(i, i + 13)) AS i FROM h),
+        l AS (SELECT id, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS words FROM (SELECT * FROM u WHERE side = 0) ANTI JOIN c USING (id, i) GROUP BY 1)
+        SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_words_left, md5(coalesce(words, '')) AS digest FROM documents LEFT JOIN l ON id = doc_id""",
     "p10_word_grades": f"""WITH l AS (SELECT doc_id, {', '.join(f'avg(CASE WHEN grade = {k} THEN 1.0 ELSE 0.0 END) AS v{k}' for k in range(1, 6))} FROM grade_labels WHERE grade BETWEEN 1 AND 5 GROUP BY 1),
         d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w, {', '.join(f'v{k}' for k in range(1, 6))} FROM documents JOIN l USING (doc_id) WHERE lower(lang) LIKE 'en%' AND text <> ''),
         t AS (SELECT {', '.join(f'sum(v{k}) + 1 AS t{k}' for k in range(1, 6))} FROM d),
