@@ -36,6 +36,12 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(known, "rep").select("page_id", F.col("rep").alias("class_id"), "copies", F.coalesce("partners", F.lit(0)).alias("n_links"))
 
 
+def p1_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one table and updates of another with nearly the same links."""
+    both = setjoin.pairs_between(table(spark, sf_dir, "page_data"), table(spark, sf_dir, "page_updates"), "page_id", "update_id", "links", SIMILAR, LEAST_LINKS)
+    return both.select(F.col("a").alias("page_id"), F.col("b").alias("update_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = canonical.repeats(table(spark, sf_dir, "page_dumps"), "raw_id", "body")
     return found.select(F.col("first").alias("first_raw_id"), F.col("record").alias("raw_id"))
@@ -131,7 +137,7 @@ def p10_word_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.word_grades(checkpointed(rows)).select("word", "n_texts", F.round(F.col("grade") * 1000).cast("int").alias("grade_milli"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile, p10_word_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_between, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile, p10_word_grades)}
 
 _SETS = """
 WITH sets AS (SELECT page_id, list_sort(list_distinct(links)) AS s FROM page_data WHERE len(list_distinct(links)) >= 5),
@@ -160,6 +166,9 @@ SQL = {
     + """, cls AS (SELECT s, min(page_id) AS class_id, count(*) AS copies FROM sets GROUP BY s),
     links AS (SELECT x, count(*) AS n FROM (SELECT unnest([a, b]) AS x FROM sim WHERE a IN (SELECT class_id FROM cls) AND b IN (SELECT class_id FROM cls)) GROUP BY 1)
     SELECT page_id, class_id, copies, coalesce(n, 0) AS n_links FROM sets JOIN cls USING (s) LEFT JOIN links ON x = class_id""",
+    "p1_between": """WITH l AS (SELECT page_id AS id, list_distinct(links) AS s FROM page_data WHERE len(list_distinct(links)) >= 5), r AS (SELECT update_id AS id, list_distinct(links) AS s FROM page_updates WHERE len(list_distinct(links)) >= 5),
+        lt AS (SELECT id, len(s) AS k, unnest(s) AS t FROM l), rt AS (SELECT id, len(s) AS k, unnest(s) AS t FROM r)
+        SELECT lt.id AS page_id, rt.id AS update_id FROM lt JOIN rt ON lt.t = rt.t AND 5 * least(lt.k, rt.k) >= 4 * greatest(lt.k, rt.k) GROUP BY lt.id, rt.id, lt.k, rt.k HAVING 9 * count(*) >= 4 * (lt.k + rt.k)""",
     "p2_found": _RECORDS + " SELECT min(raw_id) OVER (PARTITION BY canonical) AS first_raw_id, raw_id FROM canon QUALIFY first_raw_id < raw_id",
     "p2_records": _RECORDS + " SELECT min(raw_id) AS first_raw_id, count(*) AS copies FROM canon GROUP BY canonical",
     "p3_found": """SELECT msg_no FROM tasks t WHERE run.id IS NOT NULL AND url IS NOT NULL AND (

@@ -36,6 +36,8 @@ from strandweb.session import checkpointed
 
 #: A value in more classes than this is frequent. Members of a partition at most.
 FREQUENT, BLOCK = 256, 4096
+#: What names a partition: the hash of its values, they themselves, and its pair of blocks.
+PLACE = ("key", "t1", "t2", "bi", "bj")
 
 
 def record_sets(df: DataFrame, record: str, values: str, min_size: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _probe(batches: Iterator[pa.RecordBatch], threshold: Fraction, schema: pa.Sc
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        key = [np.asarray(table[c]) for c in ("key", "bi", "bj")]
+        key = [np.asarray(table[c]) for c in PLACE]
         change = np.any([k[1:] != k[:-1] for k in key], axis=0)
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
         tokens = table["tokens"].chunk(0) if table["tokens"].num_chunks else pa.array([], table["tokens"].type)
@@ -139,7 +141,7 @@ def _probe(batches: Iterator[pa.RecordBatch], threshold: Fraction, schema: pa.Sc
         size, block, t1, t2 = (np.asarray(table[c]) for c in ("size", "block", "t1", "t2"))
         left, right, overlap = [], [], []
         for s, e in zip(cuts, cuts[1:]):
-            cross = key[1][s] != key[2][s]
+            cross = key[3][s] != key[4][s]
             level = 1 if t1[s] == t2[s] else 2
             first, second = int(t1[s]), int(t2[s])
             sets = [flat[offsets[i] : offsets[i + 1]].tolist() for i in range(s, e)]
@@ -164,14 +166,13 @@ def _probe(batches: Iterator[pa.RecordBatch], threshold: Fraction, schema: pa.Sc
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = ("key", "bi", "bj")
-        last = [batch.column(c)[-1].as_py() for c in names]
-        same = np.all([np.asarray(batch.column(c)) == v for c, v in zip(names, last)], axis=0)
+        last = [batch.column(c)[-1].as_py() for c in PLACE]
+        same = np.all([np.asarray(batch.column(c)) == v for c, v in zip(PLACE, last)], axis=0)
         cut = batch.num_rows if not same.any() else int(np.argmax(same))  # rows of one partition are consecutive
         if cut:
             yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
-        elif held and [held[-1].column(c)[-1].as_py() for c in names] != last:
+        elif held and [held[-1].column(c)[-1].as_py() for c in PLACE] != last:
             yield from pairs(pa.Table.from_batches(held))
             held = [batch]
         else:
@@ -215,8 +216,7 @@ def similar_sets(sets: DataFrame, threshold: Fraction, min_size: int, frequent:
         .select("rep", "size", "key", "t1", "t2", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     )
     sent = spread.join(members.select("rep", F.col("held.t").alias("tokens")), "rep")
-    order = ["key", "t1", "t2", "bi", "bj"]
-    placed = sent.repartition(*order).sortWithinPartitions(*order, "size", "rep")
+    placed = sent.repartition(*PLACE).sortWithinPartitions(*PLACE, "size", "rep")
     out = T.StructType([T.StructField("class_a", sent.schema["rep"].dataType), T.StructField("class_b", sent.schema["rep"].dataType), *[T.StructField(c, T.IntegerType()) for c in ("overlap", "size_a", "size_b")]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -226,32 +226,62 @@ def similar_sets(sets: DataFrame, threshold: Fraction, min_size: int, frequent:
     return classes, pairs
 
 
-def members_of(sets: DataFrame) -> DataFrame:
-    """``(record, rep)`` of the records of classes with several copies; a single record is its class's name.
+#: Copies of a class that meet in one task when pairs are expanded.
+COPIES = 1024
+
+
+def _named(sets: DataFrame, least: int) -> DataFrame:
+    """``(record, rep, block, blocks)`` of the records of classes with at least ``least`` copies.
 
-    Classes are told apart by 128 bits of their sets here, which are a fraction of the sets' size.
+    Classes are told apart by 128 bits of their sets here, which are a fraction of the sets' size. A class is cut into blocks of about
+    ``COPIES`` records, by their hash.
     """
     tagged = sets.select("record", F.xxhash64("tokens").alias("m1"), F.xxhash64(F.lit("member"), "tokens").alias("m2"))
-    several = tagged.groupBy("m1", "m2").agg(F.min("record").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return tagged.join(several, ["m1", "m2"]).select("record", "rep")
+    classes = tagged.groupBy("m1", "m2").agg(F.min("record").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    named = tagged.join(classes.where(F.col("copies") >= least) if least > 1 else classes, ["m1", "m2"])
+    blocks = F.ceil(F.col("copies") / COPIES).cast("int")
+    return named.select("record", "rep", F.pmod(F.xxhash64("record", F.lit("copy")), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+
+
+def members_of(sets: DataFrame) -> DataFrame:
+    """:func:`_named` of the classes with several copies; a single record is its class's name."""
+    return _named(sets, 2)
+
+
+def _expanded(wide: DataFrame, rep: str, members: DataFrame, name: str, alone: bool) -> DataFrame:
+    """``wide`` with ``name``: each record of the class ``rep``, block by block, so no task holds a large class.
+
+    With ``alone`` classes without members stand for themselves.
+    """
+    large = members.where("blocks > 1").groupBy("rep").agg(F.max("blocks").alias("__blocks")).withColumnRenamed("rep", rep)
+    spread = wide.join(large, rep, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks") - 1, F.lit(0)))))
+    side = members.select(F.col("rep").alias(rep), F.col("block").alias("__block"), F.col("record").alias(name))
+    if not alone:
+        return spread.join(side, [rep, "__block"]).drop("__block", "__blocks")
+    found = spread.join(side, [rep, "__block"], "left").where(F.col(name).isNotNull() | F.col("__blocks").isNull())  # an empty block has no record
+    return found.withColumn(name, F.coalesce(name, rep)).drop("__block", "__blocks")
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``(a, b)`` with a < b: all pairs of records, copies included. For results that ask for each pair of rows."""
     wide = pairs.select("class_a", "class_b")
     for name in ("a", "b"):
-        side = members.select(F.col("rep").alias(f"class_{name}"), F.col("record").alias(name))
-        wide = wide.join(side, f"class_{name}", "left").withColumn(name, F.coalesce(name, f"class_{name}"))
+        wide = _expanded(wide, f"class_{name}", members, name, True)
     crossed = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # A pair of equal sets is made in two steps over the class, so that no task holds one class.
-    one, two = members.select("rep", F.col("record").alias("a")), members.select("rep", F.col("record").alias("b"))
-    return crossed.unionByName(one.join(two, "rep").where("a < b").select("a", "b"))
+    # Pairs of equal sets: the records of a block meet all of their class, in a task of their own for each block.
+    within = members.select("rep", "block", F.col("record").alias("a"))
+    others = members.select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("record").alias("b"))
+    return crossed.unionByName(within.join(others, ["rep", "block"]).where("a < b").select("a", "b"))
 
 
-def pairs_between(left: DataFrame, right: DataFrame, record: str, values: str, threshold: Fraction, min_size: int) -> DataFrame:
-    """``(a, b)``: the records of ``left`` and of ``right`` with similar sets, copies expanded."""
-    tagged = [record_sets(d, record, values, min_size).select(F.struct(F.lit(i).alias("side"), F.col("record").alias("id")).alias("record"), "tokens") for i, d in enumerate((left, right))]
+def pairs_between(left: DataFrame, right: DataFrame, left_record: str, right_record: str, values: str, threshold: Fraction, min_size: int) -> DataFrame:
+    """``(a, b)``: the records of ``left`` and of ``right`` with similar sets, copies expanded; pairs within one table are not."""
+    sides = ((left, left_record), (right, right_record))
+    tagged = [record_sets(d, r, values, min_size).select(F.struct(F.lit(i).alias("side"), F.col("record").alias("id")).alias("record"), "tokens") for i, (d, r) in enumerate(sides)]
     sets = tagged[0].unionByName(tagged[1])
-    _, pairs = similar_sets(sets, threshold, min_size)
-    both = expand_pairs(pairs, members_of(sets)).where("a.side = 0 and b.side = 1")
+    classes, pairs = similar_sets(sets, threshold, min_size)
+    ways = pairs.select(F.col("class_a").alias("x"), F.col("class_b").alias("y")).unionByName(pairs.select(F.col("class_b").alias("x"), F.col("class_a").alias("y")))
+    ways = ways.unionByName(classes.where("copies > 1").select(F.col("rep").alias("x"), F.col("rep").alias("y")))
+    named = _named(sets, 1)
+    both = _expanded(_expanded(ways, "x", named.where("record.side = 0"), "a", False), "y", named.where("record.side = 1"), "b", False)
     return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))

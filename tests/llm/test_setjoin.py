@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import pytest
 
+from strandweb.llm import setjoin
 from strandweb.llm.setjoin import expand_pairs, members_of, merge_skip, pairs_between, record_sets, similar_sets
 
 
@@ -60,7 +61,24 @@ def test_empty(spark):
 def test_between_two_tables(spark):
     left, right = [(1, ["a", "b", "c"]), (2, ["x", "y"])], [(1, ["a", "b", "c"]), (2, ["a", "b", "c", "d"]), (3, ["q"])]
     a, b = (spark.createDataFrame(r, "id long, v array<string>") for r in (left, right))
-    assert sorted(tuple(r) for r in pairs_between(a, b, "id", "v", Fraction(3, 4), 1).collect()) == [(1, 1), (1, 2)]
+    assert sorted(tuple(r) for r in pairs_between(a, b, "id", "id", "v", Fraction(3, 4), 1).collect()) == [(1, 1), (1, 2)]
+    assert pairs_between(a, b.limit(0), "id", "id", "v", Fraction(3, 4), 1).count() == 0
+
+
+def test_hot_class_in_blocks(spark, monkeypatch):
+    """A set that a third of all records share, and one similar to it: in blocks of bounded size, with no pair lost."""
+    monkeypatch.setattr(setjoin, "COPIES", 16)
+    hot, near = ["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e", "f"]
+    rows = [(i, hot if i % 3 == 0 else near if i % 3 == 1 and i < 60 else [f"{i}_{k}" for k in range(5)]) for i in range(450)]
+    df = spark.createDataFrame(rows, "id long, v array<string>").repartition(5)
+    sets = record_sets(df, "id", "v", 5)
+    members = members_of(sets)
+    assert members.groupBy("rep", "block").count().agg({"count": "max"}).first()[0] <= 3 * 16
+    got = [tuple(r) for r in expand_pairs(similar_sets(sets, Fraction(4, 5), 5)[1], members).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, Fraction(4, 5), 5)
+    left, right = df.where("id < 200"), df.where("id >= 200")
+    between = {tuple(r) for r in pairs_between(left, right, "id", "id", "v", Fraction(4, 5), 5).collect()}
+    assert between == {(x, y) for x, y in got if x < 200 <= y}
 
 
 def test_merge_skip():
