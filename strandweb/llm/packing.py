@@ -9,13 +9,17 @@ against every pair of unpacked pieces that fits the gap it would leave; if a pai
 takes its place and the piece goes back to the unpacked ones. Sizes are whole tokens, so the unpacked pieces are kept as
 a histogram and a pair is searched for in one vector operation over the capacity.
 
+Container numbers follow from the pieces (group, place in the group's packing), not from the partitioning. The vocabulary file is read
+once, on the driver, and broadcast (about a megabyte), so executors need no copy of it.
+
 Defined cases: null and empty texts have no tokens and take no space; they are listed in the first container of their
-group with size 0. Repeated rows are packed each. Very long texts give as many pieces as they need.
+group with size 0. Repeated rows are packed each. Very long texts give as many pieces as they need; whole pieces are containers by themselves.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -44,15 +48,13 @@ class TokenCounter(dict):
     That pays where the standard library's regular expressions can cut the pieces, in ASCII texts; others are encoded.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY):
-        import public_tokenizers
+    def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
         super().__init__()
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        ascii_pattern = public_tokenizers.PATTERN.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
+        ascii_pattern = pattern.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
         self.pieces = re.compile(ascii_pattern).findall
 
     def __missing__(self, piece: str) -> int:
@@ -69,19 +71,29 @@ class TokenCounter(dict):
         return sum(map(self.__getitem__, self.pieces(text)))
 
     @classmethod
-    def shared(cls, vocabulary: str) -> "TokenCounter":
-        """One for each Python worker."""
-        if vocabulary not in _COUNTERS:
-            _COUNTERS[vocabulary] = cls(vocabulary)
-        return _COUNTERS[vocabulary]
+    def shared(cls, ranks: bytes, pattern: str) -> "TokenCounter":
+        """One for each Python worker and vocabulary."""
+        key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+        if key not in _COUNTERS:
+            _COUNTERS[key] = cls(ranks, pattern)
+        return _COUNTERS[key]
+
+
+def read_vocabulary(path: str = VOCABULARY) -> tuple[bytes, str]:
+    """The rank file, and the pattern that cuts texts before its merges."""
+    import public_tokenizers
+
+    with open(path, "rb") as lines:
+        return lines.read(), public_tokenizers.PATTERN
 
 
 def token_counts(df: DataFrame, record: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``record, tokens`` of each row."""
+    """``record, tokens`` of each row; ``vocabulary`` is a file of the driver."""
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = TokenCounter.shared(vocabulary)
+        counter = TokenCounter.shared(*shared.value)
         for t in texts:
             yield pd.Series([counter.count(x) for x in t], dtype="int64")
 
@@ -151,7 +163,11 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _pack_groups(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         sizes = np.asarray(table["size"])
-        container = (np.int64(table["part"][0].as_py()) << np.int64(32)) + pack(sizes, capacity)
+        whole = sizes == capacity
+        where = np.empty(len(sizes), np.int64)
+        where[~whole] = pack(sizes[~whole], capacity)
+        where[whole] = where[~whole].max(initial=-1) + 1 + np.arange(whole.sum())
+        container = (np.int64(table["part"][0].as_py()) << np.int64(32)) + where
         yield from pa.table({"container": pa.array(container), **{c: table[c] for c in ("record", "piece", "begin", "size")}}).combine_chunks().to_batches()
 
     held: list[pa.RecordBatch] = []
@@ -177,13 +193,9 @@ def containers(counts: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     """
     pieces = counts.select("record", F.explode(F.expr(f"sequence(0L, greatest(0L, (tokens - 1) div {capacity}))")).alias("piece"), "tokens")
     pieces = pieces.select("record", "piece", (F.col("piece") * capacity).alias("begin"), F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("int").alias("size"))
-    whole, rest = pieces.where(F.col("size") == capacity), pieces.where(F.col("size") < capacity)
-    n = counts.count()
+    n = counts.agg(F.coalesce(F.sum(F.expr(f"greatest(1L, (tokens + {capacity - 1}) div {capacity})")), F.lit(0))).first()[0]
     groups = max(1, -(-n // group))
     kind = counts.schema["record"].dataType.simpleString()
-    spread = rest.withColumn("part", F.pmod(F.xxhash64("record", "piece"), F.lit(groups)).cast("int"))
+    spread = pieces.withColumn("part", F.pmod(F.xxhash64("record", "piece"), F.lit(groups)).cast("int"))
     spread = spread.repartition(min(groups, 100_000), "part").sortWithinPartitions("part", "size", "record", "piece")
-    packed = spread.mapInArrow(lambda batches: _pack_groups(batches, capacity), f"container long, record {kind}, piece long, begin long, size int")
-    # A full piece is a container by itself; these are numbered by partition, below zero.
-    alone = whole.select((-1 - F.monotonically_increasing_id()).alias("container"), "record", "piece", "begin", "size")
-    return packed.unionByName(alone)
+    return spread.mapInArrow(lambda batches: _pack_groups(batches, capacity), f"container long, record {kind}, piece long, begin long, size int")

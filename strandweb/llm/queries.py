@@ -102,6 +102,20 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(counts).select("container", F.col("record").alias("doc_id"), "piece", "begin", "size")
 
 
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of containers of 2,048 ASCII words: sizes that plain engines can count."""
+    counts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))).cast("long").alias("tokens"))
+    return packing.containers(checkpointed(counts)).select(F.col("record").alias("doc_id"), "piece", "begin", "size")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the containers of all documents: what must not be, and whether less than 1 % of their space (and one container) is unused."""
+    packed = p8_containers(spark, sf_dir).groupBy("container").agg(F.sum("size").alias("held"), F.count_distinct("doc_id", "piece").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    n, held = F.count(F.lit(1)), F.coalesce(F.sum("held"), F.lit(0))
+    overfull, repeated = (F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)) for c in (F.col("held") > packing.CAPACITY, F.col("n") != F.col("n_rows")))
+    return packed.agg(overfull.alias("n_overfull"), repeated.alias("n_repeated"), (n * packing.CAPACITY - held <= held * 0.01 + packing.CAPACITY).alias("well_filled"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.leaks(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
     return found.select(F.col("record").alias("doc_id"), F.col("item").alias("item_id"))
@@ -137,7 +151,7 @@ def p10_word_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.word_grades(checkpointed(rows)).select("word", "n_texts", F.round(F.col("grade") * 1000).cast("int").alias("grade_milli"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_between, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p9_found, p9_clean, p10_found, p10_profile, p10_word_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_between, p2_found, p2_records, p3_found, p3_error_rate, p3_counts, p5_found, p5_terms, p5_link_pairs, p8_containers, p8_pieces, p8_fill, p9_found, p9_clean, p10_found, p10_profile, p10_word_grades)}
 
 _SETS = """
 WITH sets AS (SELECT page_id, list_sort(list_distinct(links)) AS s FROM page_data WHERE len(list_distinct(links)) >= 5),
@@ -183,6 +197,9 @@ SQL = {
     "p5_link_pairs": """WITH p AS (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM page_data),
         n AS (SELECT page_id, links[i] AS a, '' AS b FROM p WHERE links[i] IS NOT NULL UNION ALL SELECT page_id, links[i], links[i + 1] FROM p WHERE links[i] IS NOT NULL AND links[i + 1] IS NOT NULL)
         SELECT a AS first_link, b AS next_link, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM n GROUP BY 1, 2""",
+    "p8_pieces": """SELECT doc_id, piece, 2048 * piece AS begin, CAST(least(2048, n - 2048 * piece) AS INTEGER) AS size
+        FROM (SELECT doc_id, n, unnest(range(0, greatest(1, (n + 2047) // 2048))) AS piece FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS n FROM documents))""",
+    "p8_fill": "SELECT CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_repeated, true AS well_filled",
     "p9_found": f"WITH {_GRAMS} SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e USING (gram) WHERE d.side = 0 AND e.side = 1",
     "p9_clean": f"""WITH {_GRAMS}, h AS (SELECT DISTINCT id, i FROM g WHERE side = 0 AND gram IN (SELECT gram FROM g WHERE side = 1)), c AS (SELECT DISTINCT id, unnest(range(i, i + 13)) AS i FROM h),
         l AS (SELECT id, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS words FROM (SELECT * FROM u WHERE side = 0) ANTI JOIN c USING (id, i) GROUP BY 1)

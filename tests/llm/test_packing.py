@@ -4,14 +4,16 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from strandweb.llm.packing import TokenCounter, VOCABULARY, containers, pack, token_counts
+from strandweb.llm.packing import TokenCounter, containers, pack, read_vocabulary, token_counts
 
+VOCABULARY = read_vocabulary()
 TEXTS = ["", "plain text", "It's 12 o'clock,\n\n  isn't it?  ", "übergröße – ½ naïve", "a\x1cb \x1d", "tab\t\tand  spaces   ", "x" * 500, "日本語 text", " line", "''s's"]
 
 
 def test_counts_equal_the_encoder():
-    counter = TokenCounter(VOCABULARY)
+    counter = TokenCounter(*read_vocabulary())
     assert [counter.count(t) for t in TEXTS] == [len(counter.encoding.encode_ordinary(t)) for t in TEXTS]
     assert counter.count(None) == 0
 
@@ -19,7 +21,7 @@ def test_counts_equal_the_encoder():
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_counts_of_any_text(text):
-    counter = TokenCounter.shared(VOCABULARY)
+    counter = TokenCounter.shared(*VOCABULARY)
     assert counter.count(text) == len(counter.encoding.encode_ordinary(text))
 
 
@@ -62,5 +64,20 @@ def test_containers(spark, group):
     assert len(held) <= 1.03 * total / 128 + 2 * (403 / group + 1)
 
 
+def test_numbers_do_not_follow_the_partitioning(spark):
+    df = spark.createDataFrame([(i % 50, 40 * i) for i in range(200)], "record long, tokens long")
+    one, other = (sorted(tuple(r) for r in containers(d, 512, 60).collect()) for d in (df.repartition(3), df.orderBy(F.desc("tokens"))))
+    assert one == other and len({r[0] for r in one if r[4] == 512}) == sum(r[4] == 512 for r in one)
+
+
+def test_documents_are_packed_tightly(spark):
+    """Unused space over the documents of a table; greedy filling alone is the yardstick."""
+    counts = token_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    rows = containers(counts).groupBy("container").agg(F.sum("size").alias("held")).collect()
+    unused = 1 - sum(r.held for r in rows) / (2048 * len(rows))
+    print(f"{len(rows)} containers, {unused:.5f} unused")
+    assert max(r.held for r in rows) <= 2048 and unused < 0.005
+
+
 def test_no_texts(spark):
     assert containers(token_counts(spark.createDataFrame([], "id long, text string"), "id", "text")).count() == 0
