@@ -10,8 +10,8 @@ texts, without empty ones, null like empty. Other fields of the object are ignor
 null text differs from an empty one. Of a repeated field the last value counts, as JSON parsers do.
 
 It is built by Spark's own JSON and text functions, whole-number statuses included. Bodies that their parser takes for broken or
-for something else than an object, and those with values of unusual types (nested ones, statuses with fractions, exponents or
-as other text), go to :func:`canonical_body`, the same rules in Python: few, unless a source writes nothing else.
+for something else than an object, those with a second closing brace, and those with values of unusual types (nested ones, statuses with fractions,
+exponents or as other text), go to :func:`canonical_body`, the same rules in Python: few, unless a source writes nothing else.
 
 Defined cases: a body that is null, empty, broken or no JSON object (trailing text and ``NaN`` included) is no record and comes out
 nowhere; deep nesting that the parser refuses counts as broken; texts of any length are taken whole; a number in a place of text is the
@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from strandweb.session import checkpointed
 
-FIELDS = ("url", "status", "links", "lastRunID", "lastUpdatedAt", "foundAt", "contentType")
+TEXTS = ("url", "lastRunID", "lastUpdatedAt", "foundAt", "contentType")
+FIELDS = (*TEXTS, "status", "links")
 
 
 class _Kept(dict):
@@ -108,34 +109,30 @@ _SHAPE = T.StructType([*(T.StructField(f, T.ArrayType(T.StringType()) if f == "l
 _STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _letters(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "")
+#: Mark the places between texts, between links, and null while all texts are treated at once; bodies that hold them are unusual.
+_CUT, _LINK, _NONE = "\u0001", "\u0003", "\u0002"
+#: Nested values, and numbers that the parser may spell anew.
+_UNUSUAL = rf"(^|[{_CUT}{_LINK}])([\[{{]|-?[0-9]+([.][0-9]|[eE][+-]?[0-9])[0-9eE.+-]*([{_CUT}{_LINK}]|\z))"
 
 
-def native_text(parsed: Column) -> Column:
+def native_text(body: Column, parsed: Column) -> Column:
     """The canonical text of a parsed body, by built-in functions; null where its values need the rules in Python."""
-    texts = [f for f in FIELDS if f not in ("links", "status")]
-    unusual = r"^([\[{]|-?[0-9]+([.][0-9]|[eE][+-]?[0-9])[0-9eE.+-]*\z)"  # nested values, and numbers that the parser may spell anew
-    nested = [parsed[f].rlike(unusual) for f in texts] + [F.exists(parsed["links"], lambda x: x.rlike(unusual))]
+    texts = F.concat_ws(_CUT, *[F.coalesce(parsed[f], F.lit(_NONE)) for f in TEXTS])
+    links = F.coalesce(F.array_join(parsed["links"], _LINK), F.lit(""))
     status = parsed["status"]
-    usual = parsed[_BAD].isNull() & (status.isNull() | status.rlike(r"^-?[0-9]{1,18}\z"))
-    for n in nested:
-        usual = usual & ~F.coalesce(n, F.lit(False))
-    links = F.transform(F.filter(parsed["links"], lambda x: x.isNotNull()), _letters)
-    links = F.array_join(F.array_sort(F.array_distinct(F.filter(links, lambda x: x != ""))), " ")
-    parts = {f: F.coalesce(_letters(parsed[f]), F.lit("-")) for f in texts}
-    parts |= {"status": F.coalesce(F.when(usual, status).cast("long").cast("string"), F.lit("-")), "links": F.coalesce(links, F.lit(""))}
-    return F.when(usual, F.concat_ws("|", *[parts[f] for f in FIELDS]))
+    usual = parsed[_BAD].isNull() & (status.isNull() | status.rlike(r"^-?[0-9]{1,18}\z")) & ~body.contains("\\u000") & ~texts.rlike(_UNUSUAL) & ~links.rlike(_UNUSUAL)
+    kept = lambda x, *marks: F.regexp_replace(F.lower(x), rf"[^\p{{L}}\p{{Nd}}{''.join(marks)}]+", "")
+    listed = F.array_join(F.sort_array(F.array_remove(F.array_distinct(F.split(kept(links, _LINK), _LINK)), "")), " ")
+    number = F.coalesce(status.try_cast("long").cast("string"), F.lit("-"))
+    return F.when(usual, F.concat_ws("|", F.translate(kept(texts, _CUT, _NONE), _CUT + _NONE, "|-"), number, listed))
 
 
 def canonical_of(df: DataFrame, body: str, name: str) -> DataFrame:
     """``df`` with ``name``, the canonical text of the column ``body``, or null if that is no record."""
-    # The parser of from_json stops before text after the object. In brackets such text makes the array longer or invalid, or,
-    # if it closes the array, hides the next element.
-    length = lambda tail: F.json_array_length(F.concat(F.lit("["), F.col(body), F.lit(tail)))
-    alone = (length("]") == 1) & (length(",0]") == 2)
-    sure = df.withColumn("__parsed", F.when(F.coalesce(alone, F.lit(False)) & F.col(body).rlike(r"^\s*\{"), F.from_json(F.col(body), _SHAPE, _STRICT)))
-    sure = sure.withColumn("__native", F.when(F.col("__parsed").isNotNull(), native_text(F.col("__parsed")))).drop("__parsed")
+    # The parser of from_json stops before text after the object. Where the only closing brace is the end, there is none.
+    alone = F.col(body).rlike(r"^\s*\{[^}]*\}\s*\z")
+    sure = df.withColumn("__parsed", F.when(alone, F.from_json(F.col(body), _SHAPE, _STRICT)))
+    sure = sure.withColumn("__native", F.when(F.col("__parsed").isNotNull(), native_text(F.col(body), F.col("__parsed")))).drop("__parsed")
     rest = canonical_udf(F.when(F.col("__native").isNull(), F.col(body)))
     return sure.withColumn(name, F.coalesce("__native", rest)).drop("__native")
 

@@ -63,7 +63,7 @@ ODD = [
     '{"url":"a","url":"b"}', '{"url":"a","url":null}', '{"status":1e2}', '{"status":"1E+2"}', '{"status":100}', '{"status":100.50}', '{"status":"0100"}', '{"status":-0}', '{"status":true}', '{"status":"abc"}', '{"status":""}',
     '{"status":12345678901234567890123}', '{"status":12345678901234567890124}', '{"status":NaN}', '{"status":Infinity}', '{"status":"NaN"}', "{'url':'a'}", '{"url":"a"} x', '{"url":"a"}{"url":"b"}', '{"url":"a"},{"url":"b"}',
     '{"url":"a"}]', '  {"url":"a"}\n', '﻿{"url":"a"}', '{"url":5}', '{"url":5.50}', '{"url":[1,2]}', '{"url":{"b":1,"a":"x"}}', '{"url":"[x"}', '{"links":"one"}', '{"links":["a",null,5,{"b":2},["c"]]}', '{"links":[]}', '{"links":{}}',
-    '{"links":null}', '{}', '{"URL":"a"}', '{"url":"\\u00c4\\u0130\\ud83d\\ude00\\u03a3"}', '{"url":"ΑΣ ΣΑ ß ﬁ ٣ ½ Ⅳ 𝟘 𐐀"}', '{"url":"\\ud800"}', '{"url":"a\nb"}', '{"url":"a",}', '{"url" "a"}', '{"url":"a"', '[]', 'null', '"x"', "", None,
+    '{"links":null}', '{"url":"a\\u0001b","lastRunID":"\\u0002","links":["\\u0003","x\\u0003y"]}', '{}', '{"URL":"a"}', '{"url":"\\u00c4\\u0130\\ud83d\\ude00\\u03a3"}', '{"url":"ΑΣ ΣΑ ß ﬁ ٣ ½ Ⅳ 𝟘 𐐀"}', '{"url":"\\ud800"}', '{"url":"a\nb"}', '{"url":"a",}', '{"url" "a"}', '{"url":"a"', '[]', 'null', '"x"', "", None,
     '{"a":' * 2000 + "1" + "}" * 2000, '{"url":01}', '{"url":"\\x"}', '{"url":tru}', '{"status":200 , "links" : ["B b","bB","-"]}', '{"url":"a","other":{"url":"b"}}', '{"lastRunID":"X-1","foundAt":"","contentType":"T"}', "{" + " " * 5000 + "}",
 ]
 
@@ -79,5 +79,5 @@ def test_native_agrees_with_python(spark):
 def test_usual_bodies_need_no_python(spark):
     bodies = [(json.dumps(page(links=["a", None, "Ä"]), indent=i % 3),) for i in range(9)] + [(json.dumps(page(links=None, status=None)),)]
     parsed = F.from_json("body", _SHAPE, _STRICT)
-    rows = spark.createDataFrame(bodies, "body string").select("body", native_text(parsed).alias("c")).collect()
+    rows = spark.createDataFrame(bodies, "body string").select("body", native_text(F.col("body"), parsed).alias("c")).collect()
     assert [r.c for r in rows] == [canonical_body(r.body) for r in rows]
