@@ -27,15 +27,15 @@ def p4_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts with at least 2 % of all rows, links with at least 1 % of all distinct (page, link) pairs.
 
-    The two totals are one aggregate row that is attached as literals; they are sums over all rows.
+    The totals are over all rows; that of the pairs is a scalar subquery on the tree's own result, so the links are exploded once.
     """
     pages = table(spark, sf_dir, "page_data")
     hosts = rows_per_key(pages, url_host(F.col("url")))
     pairs = member_pairs(pages, "page_id", "links")
     links = tree_sum(pairs, F.col("key"), F.lit(1), chunks=input_chunks(pages))
-    n_rows, n_pairs = pages.count(), pairs.count()
-    heavy = lambda d, name, least: d.where(F.col("total") >= F.lit(least)).select(F.lit(name).alias("column_name"), F.col("key").alias("heavy_value"))
-    return heavy(hosts, "url", HEAVY_HOST * n_rows).unionByName(heavy(links, "links", HEAVY_LINK * n_pairs))
+    n_pairs = links.agg(F.sum("total").alias("n")).scalar()
+    heavy = lambda d, name, least: d.where(F.col("total") >= least).select(F.lit(name).alias("column_name"), F.col("key").alias("heavy_value"))
+    return heavy(hosts, "url", F.lit(HEAVY_HOST * pages.count())).unionByName(heavy(links, "links", n_pairs * HEAVY_LINK))
 
 
 def p6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
