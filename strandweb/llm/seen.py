@@ -35,7 +35,7 @@ from strandweb.session import checkpointed
 
 BITS, WIDTH = 16, 64
 #: Rows of a shard, about, and keys of a sealed generation.
-SHARD_KEYS, SEAL = 200_000, 32_768
+SHARD_KEYS, SEAL = 65_536, 16_384
 #: Certainly absent keys that probe each shard.
 AUDIT_KEYS = 20_000
 
