@@ -62,13 +62,12 @@ origin_of = _each(origin, T.StringType())
 correct_scheme_of = _each(correct_scheme, T.StringType())
 
 
-def robots_allow(agent: str) -> Callable[[Column, Column], Column]:
-    """``(body, url)`` to whether the agent may fetch the url."""
+def robots_rules_of(agent: str) -> Callable[[Column], Column]:
+    """Body of a robots.txt to the lines that hold for the agent."""
+    return _each(lambda body: robots_rules.relevant_rules(body, agent), T.StringType())
 
-    def one(body: str | None, url: str | None) -> bool | None:
-        return None if url is None else robots_rules.allowed(body or "", agent, url)
 
-    return _pairwise(one, T.BooleanType())
+robots_allow = _pairwise(lambda rules, url: None if url is None else robots_rules.allowed_by(rules or "", url), T.BooleanType())  # (rules, url)
 
 
 class DocumentLinks:

@@ -18,7 +18,8 @@ from strandweb.operators.admission import admit, within_depth
 from strandweb.operators.graph import in_degree, page_edges, upsert_nodes
 from strandweb.operators.heavy_keys import url_host
 from strandweb.operators.scan import numbered, running_total
-from strandweb.plans.crawl import Crawl, crawl, robots_verdict
+from strandweb.operators.robots_cache import robots_verdict
+from strandweb.plans.crawl import Crawl, crawl
 from strandweb.schemas import RUN
 from strandweb.session import spread, table
 from strandweb.sources.codec import decode_tasks, encode
@@ -163,7 +164,7 @@ def cache_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "tasks").where("run.id is not null").select("msg_no", F.col("current_depth").alias("depth"), F.col("run.id").alias("run_id"), F.coalesce("run.max_links", F.lit(0)).alias("max_links"), F.col("run.max_depth").alias("max_depth"))
     most = tasks.agg(F.max("max_links")).first()[0] or 0
-    return admit(tasks.where(within_depth(F.col("depth"), F.col("max_depth"))), "run_id", [F.col("msg_no")], F.col("max_links"), most).select("msg_no", "run_id", "rank")
+    return admit(tasks.where(within_depth(F.col("depth"), F.col("max_depth"))), "run_id", ["msg_no"], F.col("max_links"), most).select("msg_no", "run_id", "rank")
 
 
 def active_balance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -73,6 +74,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class WrittenTable:
+    """A table in the shared checkpoint folder that grows by parts; read as one scan. It goes when the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+        self.parts: list[str] = []
+        self.schema: StructType | None = None
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """The new part, read back."""
+        part = f"{self.path}/part-{len(self.parts)}"
+        df.write.parquet(part)
+        self.parts.append(part)
+        self.schema = df.schema
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan ``df`` whose few input splits would leave cores idle in front of a slow function, spread over all of them.
 

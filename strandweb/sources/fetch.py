@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -20,6 +20,30 @@ class Fetcher(Protocol):
     def fetch(self, urls: DataFrame) -> DataFrame: ...
 
 
+class Renderer(Protocol):
+    """Anything that fills ``rendered_html`` of fetched rows that want it (``render``); others stay as they are."""
+
+    def render(self, fetched: DataFrame) -> DataFrame: ...
+
+
+class FunctionRenderer:
+    """Renders by a function from address and body to HTML, in Arrow batches; only rows with ``render`` and without a rendered document reach it."""
+
+    def __init__(self, function: Callable[[str, str], str | None]):
+        self.function = function
+
+    def render(self, fetched: DataFrame) -> DataFrame:
+        function = self.function
+
+        @F.pandas_udf("string")
+        def rendered(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for urls, bodies in columns:
+                yield pd.Series([None if b is None else function(u, b) for u, b in zip(urls, bodies)], dtype=object)
+
+        asks = F.col("render") & F.col("rendered_html").isNull()
+        return fetched.withColumn("rendered_html", F.coalesce("rendered_html", rendered(F.col("url"), F.when(asks, F.col("body")))))
+
+
 class SnapshotFetcher:
     """Documents of a table. Requests carry no fragment, so both sides are compared without it; of several rows for one
     address the first in ``order`` counts.

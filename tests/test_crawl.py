@@ -110,8 +110,8 @@ def test_graph(spark):
 def test_admit(spark):
     rows = [(r, i, n) for r, n in (("a", 3), ("b", 0), ("c", 99)) for i in range(10)]
     df = spark.createDataFrame(rows, "run string, i int, n int")
-    for most in (None, 99):
-        assert sorted((r.run, r.i) for r in admit(df, "run", [F.col("i")], F.col("n"), most).collect()) == [("a", 0), ("a", 1), ("a", 2), *(("c", i) for i in range(10))]
+    for most, in_task in ((None, 10), (99, 1000), (99, 98)):
+        assert sorted((r.run, r.i) for r in admit(df, "run", ["i"], F.col("n"), most, in_task).collect()) == [("a", 0), ("a", 1), ("a", 2), *(("c", i) for i in range(10))]
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 9])
