@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,10 @@ def crawl_runs(messages: DataFrame, store: GraphStore, fetcher: Fetcher, checkpo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+#: Rows of a frame that leaves the gate.
+FRAME = 10_000
+
+
 def gate_stream(tasks: DataFrame, key: str, time: str, ttl_hours: int = 12, late_hours: int = 24) -> DataFrame:
     """``key, time, hit`` of a stream of look-ups: known if the key's last miss is younger than the time to live.
 
@@ -100,15 +105,16 @@ def gate_stream(tasks: DataFrame, key: str, time: str, ttl_hours: int = 12, late
             state.remove()
             return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values("time", kind="stable")
-            hits = []
-            for t in frame["time"]:
-                hit = last is not None and t < last + ttl
-                hits.append(hit)
-                if not hit:
-                    last = t
-            yield pd.DataFrame({"key": group[0], "time": frame["time"], "hit": hits})
+        # The frames of a key aren't ordered: its times of this batch are put in order together, 8 bytes each.
+        times = np.sort(np.concatenate([frame["time"].to_numpy("datetime64[us]") for frame in frames]))
+        hits = np.ones(len(times), bool)
+        at = 0 if last is None else int(np.searchsorted(times, np.datetime64(last + ttl, "us")))
+        while at < len(times):
+            hits[at] = False
+            last = pd.Timestamp(times[at])
+            at = int(np.searchsorted(times, np.datetime64(last + ttl, "us")))
+        for begin in range(0, len(times), FRAME):
+            yield pd.DataFrame({"key": group[0], "time": times[begin : begin + FRAME], "hit": hits[begin : begin + FRAME]})
         state.update((int(last.value // 1000),))
         state.setTimeoutTimestamp(max(int((last + ttl).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
 

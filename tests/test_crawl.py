@@ -152,3 +152,30 @@ def test_codec(spark):
     tasks = spark.createDataFrame([("u", 1, ("r", True, 2, 3, (True, False), "s")), ("v", 0, ("q", False, 0, 0, None, ""))], TASK)
     assert sorted(map(str, decode_tasks(encode(tasks)).collect())) == sorted(map(str, tasks.collect()))
     assert decode_tasks(df).count() == 4 - 1
+
+
+def test_hot_keys_are_spread(spark):
+    """A run, a url and a cache key with a third of all rows: ranked, upserted and looked up right, and no task gets them all."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("run"), F.lit(700).alias("n")).repartition(6)
+    ranked = running_total(df, ["run"], ["i"], F.lit(1), "rank", partitions=12)
+    assert max(r["count"] for r in df.repartitionByRange(12, "run", "i").groupBy(F.spark_partition_id()).count().collect()) < n // 6
+    admitted = admit(df, "run", ["i"], F.col("n"), 700, in_task=10)
+    assert admitted.where("run = 'hot'").count() == 700 == ranked.where("run = 'hot' and rank <= 700").count()
+    looks = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"), F.timestamp_seconds(F.col("id") % 100 * 3600).alias("t"))
+    want, until = {}, {}
+    for r in sorted(looks.collect(), key=lambda r: (r.key, r.t, r.i)):
+        want[r.i] = r.key in until and r.t < until[r.key]
+        if not want[r.i]:
+            until[r.key] = r.t + timedelta(hours=12)
+    assert {r.i: r.hit for r in lookups(looks.repartition(5), "key", "t", ["i"]).collect()} == want
+    # What a task may get of the hot key are its different times, not its rows.
+    assert looks.where("key = 'hot'").select("t").distinct().count() == 100
+
+
+def test_upsert_moves_no_links_by_url(spark):
+    first = spark.createDataFrame([page("a", ["b"], 1), page("a", ["c"], 1), page("a", None, 0)], PAGE)
+    rows = {r.url: r for r in upsert_nodes(None, first.withColumn("seq", F.lit(None).cast("long"))).collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["a"].links in (["b"], ["c"])
+    plan = upsert_nodes(None, first)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and plan.count("SortAggregate") <= 2  # dropDuplicates on rows that are sorted already

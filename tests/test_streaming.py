@@ -51,6 +51,23 @@ def test_gate(spark, tmp_path):
     assert {(r.key, hours(r.time)): r.hit for r in got} == {("a", 0): False, ("a", 11): True, ("b", 1): False, ("a", 12): False, ("a", 13): True, ("b", 12.9): True, ("b", 13): False, ("a", 24): False}
 
 
+@pytest.mark.parametrize("rows", [4, 10_000])
+def test_gate_is_in_order_whatever_the_frames(spark, tmp_path, rows):
+    """Look-ups of one key come out of order and in small frames: the misses are those of the times in order."""
+    source, schema = tmp_path / "in", "k string, t timestamp"
+    hours = [17, 3, 9, 0, 13, 6, 25, 11, 2, 20, 12, 5, 24]
+    spark.createDataFrame([("a", T0 + timedelta(hours=h)) for h in hours], schema).coalesce(1).write.parquet(str(source))
+    got = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        stream = gate_stream(spark.readStream.schema(schema).parquet(str(source)), "k", "t")
+        query = stream.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.time - T0.replace(tzinfo=None)).total_seconds() / 3600 for r in got if not r.hit) == [0, 12, 24] and len(got) == len(hours)
+
+
 def test_sql_functions(spark):
     register(spark)
     rows = spark.sql("""SELECT d.n, l.link FROM VALUES (1, 'http://h/', '<a href="/x">'), (2, 'http://h/a.js', 'fetch("y")'), (3, 'http://h/', NULL) d(n, url, body), LATERAL document_links(d.url, d.body) l""").collect()
