@@ -12,12 +12,14 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandweb.operators.runs import in_slots, observed
 from strandweb.plans.crawl import crawl
+from strandweb.schemas import RUN
 from strandweb.sources.codec import decode_runs, encode
 from strandweb.sources.fetch import Fetcher
 
@@ -32,19 +34,53 @@ def read_messages(spark: SparkSession, source: str, path: str | None = None, **o
     return reader.load(path).select(F.col("value").cast("string").alias("value")) if path else reader.load().select(F.col("value").cast("string").alias("value"))
 
 
-def write_messages(df: DataFrame, path: str, checkpoint: str, *columns: str, once: bool = False) -> StreamingQuery:
-    """Rows of a stream as JSON messages in text files, flushed each second or, with ``once``, until the input is used up."""
-    writer = encode(df, *columns).writeStream.format("text").option("checkpointLocation", checkpoint).option("path", path)
+def _messages(df: DataFrame, sink: str, columns: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """Messages and the options that make batches of them: files of at most ``PRODUCE_BATCH``, or Kafka's own batching."""
+    options = {"maxRecordsPerFile": str(PRODUCE_BATCH)} if sink == "text" else {"kafka.linger.ms": str(1000 * FLUSH_SECONDS)} if sink == "kafka" else {}
+    return encode(df, *columns), options
+
+
+def write_messages(df: DataFrame, path: str | None, checkpoint: str, *columns: str, once: bool = False, sink: str = "text", **options: str) -> StreamingQuery:
+    """Rows of a stream as JSON messages, flushed each second or, with ``once``, until the input is used up.
+
+    To text files in ``path``, or to any other ``sink`` that is installed (Kafka: options ``kafka.bootstrap.servers``, ``topic`` and so on).
+    """
+    messages, own = _messages(df, sink, columns)
+    writer = messages.writeStream.format(sink).option("checkpointLocation", checkpoint).options(**own | options)
+    writer = writer.option("path", path) if path else writer
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{FLUSH_SECONDS} seconds")).start()
 
 
+class MessageQueue:
+    """Where tasks and runs are sent: a folder of text files, or a sink that is installed. For batches of a stream, and for whole tables."""
+
+    def __init__(self, path: str | None = None, sink: str = "text", **options: str):
+        self.path, self.sink, self.options = path, sink, options
+
+    def send(self, df: DataFrame, *columns: str) -> None:
+        messages, own = _messages(df, self.sink, columns)
+        writer = messages.write.format(self.sink).mode("append").options(**own | self.options)
+        writer.save(self.path) if self.path else writer.save()
+
+    def send_tasks(self, tasks: DataFrame) -> None:
+        self.send(tasks, "url", "current_depth", "run")
+
+    def send_runs(self, runs: DataFrame) -> None:
+        self.send(runs, *(f.name for f in RUN))
+
+
 class GraphStore:
-    """Versions of the graph and the cache in a shared folder; each batch writes a version of its own, the newest complete one counts."""
+    """Versions of the graph and the caches in a shared folder; each batch writes a version of its own, the newest complete one counts.
+
+    The newest ``keep`` complete versions stay, so that a repeated batch finds the one before it. ``measures`` has what was
+    observed of the last batch's pages while they were written.
+    """
 
-    TABLES = ("nodes", "edges", "cache")
+    TABLES = ("nodes", "edges", "cache", "robots")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 3):
+        self.spark, self.folder, self.keep = spark, folder, max(keep, 2)
+        self.measures: dict[str, int] = {}
 
     def _file_system(self) -> tuple:
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -62,25 +98,50 @@ class GraphStore:
         known = [v for v in self.versions() if before is None or v < before]
         if not known:
             return dict.fromkeys(self.TABLES)
-        return {t: self.spark.read.parquet(f"{self.folder}/v{known[-1]}/{t}") for t in self.TABLES}
+        path, fs = self._file_system()
+        held = {t: f"{self.folder}/v{known[-1]}/{t}" for t in self.TABLES}
+        return {t: self.spark.read.parquet(place) if fs.exists(path(place)) else None for t, place in held.items()}
 
-    def write(self, version: int, **tables: DataFrame) -> None:
+    def write(self, version: int, pages: DataFrame | None = None, **tables: DataFrame | None) -> None:
         path, fs = self._file_system()
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
+        if pages is not None:
+            observation = Observation()
+            observed(pages, observation).write.mode("overwrite").parquet(f"{self.folder}/v{version}/pages")
+            self.measures = observation.get
         fs.create(path(f"{self.folder}/v{version}/_COMPLETE"), True).close()
+        for old in self.versions()[: -self.keep]:
+            fs.delete(path(f"{self.folder}/v{old}"), True)
+
 
+def crawl_runs(
+    messages: DataFrame, store: GraphStore, fetcher: Fetcher, checkpoint: str, robots: DataFrame | None = None, as_of: Callable[[], datetime] | None = None, once: bool = False,
+    slots: int | None = None, requeue: MessageQueue | None = None, done: Callable[[int, DataFrame], None] | None = None, robots_fetcher: Fetcher | None = None, **limits: int,
+) -> StreamingQuery:
+    """Crawl the runs of a message stream, batch by batch; malformed messages are skipped.
 
-def crawl_runs(messages: DataFrame, store: GraphStore, fetcher: Fetcher, checkpoint: str, robots: DataFrame | None = None, as_of: Callable[[], datetime] | None = None, once: bool = False, **limits: int) -> StreamingQuery:
-    """Crawl the runs of a message stream, batch by batch; malformed messages are skipped."""
+    With ``slots`` and ``requeue`` so many runs of a batch are crawled, and the others are sent back to the queue. With ``robots_fetcher``
+    rules are fetched as needed and their cache is kept in the store. ``done`` is called with a batch's number and the
+    outcomes of its runs once they are stored.
+    """
     clock = as_of or (lambda: datetime.now(timezone.utc))
 
     def batch(rows: DataFrame, number: int) -> None:
         runs = decode_runs(rows).where("id != ''").dropDuplicates(["id"]).persist()
         if not runs.isEmpty():
+            now = runs
+            if slots and requeue:
+                now, later = in_slots(runs, slots)
+                if not later.isEmpty():
+                    requeue.send_runs(later)
             state = store.read(before=number)
-            result = crawl(runs, fetcher, clock(), robots, state["nodes"], state["edges"], state["cache"], **limits)
-            store.write(number, nodes=result.nodes, edges=result.edges, cache=result.cache)
+            rules = robots if robots is not None else state["robots"]
+            result = crawl(now, fetcher, clock(), rules, state["nodes"], state["edges"], state["cache"], robots_fetcher=robots_fetcher, **limits)
+            store.write(number, pages=result.pages, nodes=result.nodes, edges=result.edges, cache=result.cache, robots=result.robots if robots_fetcher else None)
+            if done:
+                done(number, result.outcomes())
         runs.unpersist()
 
     writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -9,7 +9,8 @@ from strandweb.functions.udfs import register
 from strandweb.schemas import WEB
 from strandweb.sources.codec import decode_tasks
 from strandweb.sources.fetch import HttpFetcher, SnapshotFetcher
-from strandweb.streaming.stream import GraphStore, crawl_runs, gate_stream, read_messages, write_messages
+from strandweb.operators.runs import child_tasks, drained, new_runs, seed_tasks
+from strandweb.streaming.stream import GraphStore, MessageQueue, crawl_runs, gate_stream, read_messages, write_messages
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 
@@ -51,6 +52,43 @@ def test_gate(spark, tmp_path):
     assert {(r.key, hours(r.time)): r.hit for r in got} == {("a", 0): False, ("a", 11): True, ("b", 1): False, ("a", 12): False, ("a", 13): True, ("b", 12.9): True, ("b", 13): False, ("a", 24): False}
 
 
+def test_slots_requeue_callback_and_measures(spark, tmp_path):
+    """Runs beyond the slots go back to the queue; each batch's outcomes are told; pages are measured; old versions go; rules are cached."""
+    inbox, store, told = tmp_path / "in", GraphStore(spark, str(tmp_path / "graph"), keep=2), []
+    inbox.mkdir()
+    queue = MessageQueue(str(inbox))
+    pages = [("http://h/", '<a href="/a"> <a href="/no">'), ("http://h/a", '<a href="/">'), ("http://h/robots.txt", "User-agent: *\nDisallow: /no")]
+    fetcher = SnapshotFetcher(spark.createDataFrame([(u, 200, b, None, None) for u, b in pages], WEB))
+    runs = new_runs(spark.createDataFrame([("http://h/",), ("h/a",), ("http://h/",), (None,)], "u string"), "u", 3, 9)
+    assert all(len(r.id) == 40 and r.use_cache_flag and r.extra_flags is None for r in runs.collect())
+    queue.send_runs(runs.withColumn("id", F.concat(F.lit("r"), F.monotonically_increasing_id())))
+    for _ in range(4):
+        stream = crawl_runs(
+            read_messages(spark, "text", str(inbox)), store, fetcher, str(tmp_path / "offsets"), as_of=lambda: T0, once=True, slots=1, requeue=queue,
+            done=lambda n, outcomes: told.append({(r.run_id, r.outcome): r.n for r in outcomes.collect()}), robots_fetcher=fetcher,
+        )
+        assert stream.awaitTermination(200)
+    assert len(told) == 4 and len({r for t in told for r, _ in t}) == 4
+    assert sum(t.get((r, "saved"), 0) for t in told for r, _ in t) >= 2 and any(o == "robots_denied" for t in told for _, o in t)
+    assert len(store.versions()) == 2 and store.read()["robots"].count() == 1 and set(store.measures) == {"n_pages", "n_links", "most_links", "without_run"}
+
+
+def test_tasks_to_a_queue(spark, tmp_path):
+    runs = new_runs(spark.createDataFrame([("h/x",)], "u string"), "u", 3, 9, rendered=True, id_=F.lit("r"))
+    seeds = seed_tasks(runs)
+    children = child_tasks(seeds.withColumn("links", F.array(F.lit("http://h/1"), F.lit(None), F.lit("http://h/2"))))
+    queue = MessageQueue(str(tmp_path / "tasks"))
+    queue.send_tasks(seeds)
+    queue.send_tasks(children)
+    queue.send_tasks(children.limit(0))
+    got = decode_tasks(spark.read.text(str(tmp_path / "tasks")))
+    assert sorted((r.url, r.current_depth, r.run.id, r.run.extra_flags.parse_rendered_html) for r in got.collect()) == [("http://h/1", 1, "r", True), ("http://h/2", 1, "r", True), ("https://h/x", 0, "r", True)]
+    many = spark.range(230).select(F.col("id").cast("string").alias("url"), F.lit(0).alias("current_depth"), F.lit(None).cast(seeds.schema["run"].dataType).alias("run")).coalesce(1)
+    MessageQueue(str(tmp_path / "many")).send_tasks(many)
+    assert max(len(f.read_text().splitlines()) for f in (tmp_path / "many").glob("part-*")) == 50
+    assert drained(spark.read.text(str(tmp_path / "many")), 7).count() == 7
+
+
 @pytest.mark.parametrize("rows", [4, 10_000])
 def test_gate_is_in_order_whatever_the_frames(spark, tmp_path, rows):
     """Look-ups of one key come out of order and in small frames: the misses are those of the times in order."""
