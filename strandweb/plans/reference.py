@@ -18,11 +18,12 @@ from strandweb.operators.admission import admit, within_depth
 from strandweb.operators.graph import in_degree, page_edges, upsert_nodes
 from strandweb.operators.heavy_keys import url_host
 from strandweb.operators.scan import numbered, running_total
-from strandweb.operators.robots_cache import robots_verdict
+from strandweb.operators.robots_cache import live_rules, refreshed, robots_verdict
+from strandweb.operators.runs import child_tasks, new_runs, page_measures, seed_tasks
 from strandweb.plans.crawl import Crawl, crawl
-from strandweb.schemas import RUN
+from strandweb.schemas import CACHE, RUN
 from strandweb.session import spread, table
-from strandweb.sources.codec import decode_tasks, encode
+from strandweb.sources.codec import decode_runs, decode_tasks, encode
 from strandweb.sources.fetch import SnapshotFetcher
 
 AS_OF = datetime(2025, 10, 1, tzinfo=timezone.utc)
@@ -188,18 +189,89 @@ def task_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.select("url", "current_depth", F.col("run.id").alias("run_id"), F.col("run.max_depth").alias("max_depth"), F.col("run.max_links").alias("max_links"), F.col("run.use_cache_flag").alias("use_cache_flag"), F.col("run.start_url").alias("start_url"))
 
 
+def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs written as messages and read back, among messages with a limit that is no number."""
+    messages = encode(table(spark, sf_dir, "runs"), *(f.name for f in RUN))
+    bad = messages.select(F.regexp_replace("value", '"max_depth":[0-9]+', '"max_depth":"deep"').alias("value")).where(F.col("value").contains('"deep"'))
+    runs = decode_runs(messages.unionByName(bad))
+    flags = [F.col(f"extra_flags.{c}").alias(c) for c in ("should_screenshot", "parse_rendered_html")]
+    return runs.select("id", "use_cache_flag", "max_depth", "max_links", "start_url", *flags)
+
+
+def run_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first task of runs made for all pages' hosts."""
+    hosts = table(spark, sf_dir, "page_data").select(url_host(F.col("url")).alias("host")).where("host is not null").distinct()
+    runs = new_runs(hosts, "host", 3, 100, rendered=True, id_=F.sha1(F.col("host")))
+    return seed_tasks(runs).select("url", "current_depth", F.col("run.id").alias("run_id"), F.col("run.use_cache_flag").alias("use_cache"), F.col("run.extra_flags.parse_rendered_html").alias("rendered"), F.col("run.extra_flags.should_screenshot").alias("screenshot"))
+
+
+def child_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of all links of the pages that a task message asked for, one level deeper, through messages and back."""
+    pages = table(spark, sf_dir, "page_data").where("url is not null").groupBy("url").agg(F.min_by("links", "page_id").alias("links"))
+    asked = table(spark, sf_dir, "tasks").where("url is not null and run.id is not null").join(pages, "url").select("url", "current_depth", "run", "links")
+    back = decode_tasks(encode(child_tasks(asked), "url", "current_depth", "run"))
+    return back.groupBy(F.col("run.id").alias("run_id"), "current_depth").agg(F.count(F.lit(1)).alias("n_tasks"), F.count_distinct("url").alias("n_urls"))
+
+
+def page_measures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what is observed of pages that are saved."""
+    return table(spark, sf_dir, "page_data").agg(*[c.alias(name) for name, c in page_measures().items()])
+
+
+def cache_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page cache after the pages and then their updates were written to it, by the time of writing."""
+    rows = lambda name: table(spark, sf_dir, name).where("last_updated_at is not null").select("url", "links", F.col("last_updated_at").alias("cached_at"))
+    cache = page_cache.write(page_cache.write(spark.createDataFrame([], CACHE), rows("page_data")), rows("page_updates"))
+    return page_cache.live(cache, F.lit(AS_OF).cast("timestamp"), 24 * 20).select("url", "cached_at")
+
+
+def robots_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of all tasks' origins from a cache in which a third are valid and a third are out of date; what isn't valid is fetched: no file on plain
+    http, none to be had from the ``.example`` hosts with a port."""
+    tasks = table(spark, sf_dir, "tasks").where("url is not null").select("url")
+    origins = tasks.select(urls.origin_column(F.col("url")).alias("origin")).where("origin is not null").distinct()
+    now, third = F.lit(AS_OF).cast("timestamp"), F.length("origin") % 3
+    cache = origins.where(third < 2).select("origin", F.lit(200).alias("status"), F.lit("User-agent: *").alias("body"), (now - F.when(third == 0, F.expr("INTERVAL 6 HOURS")).otherwise(F.expr("INTERVAL 12 HOURS"))).alias("cached_at"))
+    status = F.when(F.col("origin").startswith("http:"), 404).otherwise(200)
+    files = origins.where(~F.col("origin").rlike("(?i)^https.*[.]example:")).select(F.concat("origin", F.lit("/robots.txt")).alias("url"), status.alias("status"), F.lit(ROBOTS_TEXT).alias("body"))
+    rules, after = refreshed(cache, tasks, SnapshotFetcher(files), now)
+    valid = live_rules(after, now).select("origin", F.lit(True).alias("in_cache"))
+    return rules.join(valid, "origin", "left").select("origin", F.coalesce("status", F.lit(-1)).alias("status"), F.length("body").alias("n_chars"), F.coalesce("in_cache", F.lit(False)).alias("in_cache"))
+
+
 def _part_web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A web of one page per part, each with links to two others."""
+    """A web of one page per part, each with links to two others, and to a third one once it is rendered; and its rules for robots."""
     parts = table(spark, sf_dir, "part")
     n = parts.count()
     k = F.pmod(F.col("p_partkey"), F.lit(n))
     link = lambda to: F.concat(F.lit('<a href="/'), F.pmod(to, F.lit(n)).cast("string"), F.lit('">'))
-    return parts.select(F.concat(F.lit("http://w.test/"), k.cast("string")).alias("url"), F.lit(200).alias("status"), F.concat(link(k * 2), link(k * 3 + 1)).alias("body"))
+    body = F.concat(link(k * 2), link(k * 3 + 1))
+    pages = parts.select(F.concat(F.lit("http://w.test/"), k.cast("string")).alias("url"), F.lit(200).alias("status"), body.alias("body"), F.concat(body, link(k * 5 + 2)).alias("rendered_html"))
+    return pages.unionByName(spark.createDataFrame([("http://w.test/robots.txt", 200, "User-agent: *\nDisallow: /*7$\n", None)], pages.schema))
+
+
+def _part_crawl(spark: SparkSession, sf_dir: str, cached: bool, depth: int, rendered: bool = False, robots: bool = False) -> Crawl:
+    runs = spark.createDataFrame([("bfs", cached, depth, 1_000_000, (False, rendered), "http://w.test/1")], RUN)
+    fetcher = SnapshotFetcher(_part_web(spark, sf_dir))
+    return crawl(runs, fetcher, AS_OF, robots_fetcher=fetcher if robots else None)
 
 
-def _part_crawl(spark: SparkSession, sf_dir: str, cached: bool, depth: int) -> Crawl:
-    runs = spark.createDataFrame([("bfs", cached, depth, 1_000_000, None, "http://w.test/1")], RUN)
-    return crawl(runs, SnapshotFetcher(_part_web(spark, sf_dir)), AS_OF)
+def crawl_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a crawl that fetches the rules itself and asks them, saved or denied, with the first level of each."""
+    tasks = _part_crawl(spark, sf_dir, True, 7, robots=True).tasks
+    return tasks.where("outcome in ('saved', 'robots_denied')").groupBy("url", "outcome").agg(F.min("depth").alias("depth"))
+
+
+def crawl_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page rows of a crawl that reads rendered documents."""
+    pages = _part_crawl(spark, sf_dir, True, 5, rendered=True).pages
+    return pages.select("url", "depth", "status", F.size("links").alias("n_links"), "last_run_id", "content_type", (F.col("last_updated_at") == F.col("found_at")).alias("new"))
+
+
+def crawl_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of four runs, one after the other: the second finds its seed in the cache, the third uses none, the last may not do anything."""
+    rows = [("a", True, 4, 1000, None, "http://w.test/1"), ("b", True, 4, 1000, None, "http://w.test/1"), ("c", False, 4, 1000, None, "http://w.test/1"), ("d", True, 4, 0, None, "http://w.test/1")]
+    return crawl(spark.createDataFrame(rows, RUN), SnapshotFetcher(_part_web(spark, sf_dir)), AS_OF, max_concurrent_runs=1).outcomes()
 
 
 def crawl_bfs_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +294,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_links, srcset_links, json_links, script_links, graph_edges, graph_nodes, graph_remerge, in_degree_topk, host_link_matrix, url_origin, url_correct_scheme, script_urls, screenshot_paths, normalize_links,
-        relative_paths, content_type_sniff, robots_filter, cache_gate, run_admission, active_balance, run_batches, task_roundtrip, crawl_bfs_cached, crawl_bfs_nocache, run_outcomes,
+        relative_paths, content_type_sniff, robots_filter, cache_gate, run_admission, active_balance, run_batches, task_roundtrip, run_roundtrip, run_seeds,
+        child_messages, page_measures_all, cache_write, robots_cache, crawl_bfs_cached, crawl_bfs_nocache, crawl_robots, crawl_rendered, crawl_slots, run_outcomes,
     )
 }
 
@@ -265,6 +338,37 @@ def _nodes(name: str, seq: str) -> str:
 _BOTH_COLUMNS = ", ".join(f"CASE WHEN n.crawled THEN n.{c} ELSE o.{c} END AS {c}" for c in ("status", "last_run_id", "last_updated_at", "content_type"))
 _WEB = "n AS (SELECT count(*) AS n FROM part)"
 
+#: Levels that the SQL of a crawl is written out for; no test run goes deeper.
+_LEVELS = 12
+
+
+def _crawl_sql() -> str:
+    """The outcomes of all runs, level by level: what recursion can't say, as it needs windows and all earlier levels."""
+    given = "coalesce(start_url, '')"
+    seed = f"""CASE WHEN starts_with({given}, ' ') OR regexp_matches({given}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') THEN {given} ELSE {_HEAD.format("('https://' || " + given + ")")} || ({_escaped(_PATH.format("('https://' || " + given + ")"))})
+        || {_QUERY.format(given)} || CASE WHEN {_FRAGMENT.format(given)} = '' THEN '' ELSE '#' || ({_escaped(_FRAGMENT.format(given))}) END END"""
+    parts = [
+        f"""docs AS (SELECT key, page_id FROM (SELECT split_part(url, '#', 1) AS key, min(page_id) AS page_id FROM page_data WHERE url IS NOT NULL GROUP BY 1)),
+        out AS MATERIALIZED (SELECT DISTINCT d.key, {_resolved('l')} AS link FROM docs d JOIN ({_FLAT}) f ON f.page_id = d.page_id WHERE l IS NOT NULL),
+        lim AS (SELECT id AS r, coalesce(use_cache_flag, false) AS c, coalesce(max_depth, 0) AS md, coalesce(max_links, 0) AS ml, {seed} AS url FROM runs WHERE id IS NOT NULL),
+        asked0 AS (SELECT r, c, md, ml, url, CAST(0 AS BIGINT) AS parent, CAST(0 AS BIGINT) AS used FROM lim), seen0 AS (SELECT CAST(NULL AS VARCHAR) AS url WHERE false)"""
+    ]
+    for d in range(_LEVELS):
+        parts.append(
+            f"""in{d} AS (SELECT *, used + row_number() OVER (PARTITION BY r ORDER BY parent, url) AS seq FROM asked{d} WHERE {d} < md QUALIFY seq <= ml),
+        res{d} AS MATERIALIZED (SELECT i.*, CASE WHEN c AND i.url IN (SELECT url FROM seen{d}) THEN 'cache_hit' WHEN k.key IS NULL THEN 'fetch_error'
+            WHEN c AND row_number() OVER (PARTITION BY i.url, c ORDER BY r, seq) > 1 THEN 'cache_hit' ELSE 'saved' END AS outcome FROM in{d} i LEFT JOIN docs k ON k.key = split_part(i.url, '#', 1)),
+        seen{d + 1} AS MATERIALIZED (SELECT url FROM seen{d} UNION SELECT url FROM res{d} WHERE outcome = 'saved'),
+        asked{d + 1} AS (SELECT s.r, s.c, s.md, s.ml, o.link AS url, s.seq AS parent, u.used FROM res{d} s JOIN out o ON o.key = split_part(s.url, '#', 1) JOIN (SELECT r, max(seq) AS used FROM res{d} GROUP BY 1) u ON u.r = s.r WHERE s.outcome = 'saved')"""
+        )
+    tasks = " UNION ALL ".join(f"SELECT r, outcome FROM res{d}" for d in range(_LEVELS))
+    asked = " UNION ALL ".join(f"SELECT r FROM asked{d}" for d in range(_LEVELS + 1))
+    return f"""WITH {', '.join(parts)}, t AS ({tasks}), n AS (SELECT r, count(*) AS n FROM ({asked}) GROUP BY 1), e AS (SELECT r, count(*) AS n FROM t GROUP BY 1)
+        SELECT r AS run_id, outcome, count(*) AS n FROM t GROUP BY 1, 2 UNION ALL SELECT n.r, 'limit_rejected', n.n - coalesce(e.n, 0) FROM n LEFT JOIN e ON e.r = n.r WHERE n.n > coalesce(e.n, 0)"""
+
+
+_CHILDREN = "CASE WHEN 2 * k % (SELECT n FROM n) = (3 * k + 1) % (SELECT n FROM n) THEN [2 * k % (SELECT n FROM n)] ELSE [2 * k % (SELECT n FROM n), (3 * k + 1) % (SELECT n FROM n)] END"
+
 SQL = {
     "page_links": f"SELECT DISTINCT page_id, {_resolved('l')} AS link FROM ({_FLAT}) WHERE l IS NOT NULL",
     "srcset_links": f"""SELECT DISTINCT page_id, {_HEAD.format('url')} || CASE WHEN p = '' THEN '/' ELSE ({_escaped('p')}) END || q AS link FROM (
@@ -315,4 +419,29 @@ SQL = {
     "crawl_bfs_nocache": f"""WITH RECURSIVE {_WEB}, b AS (SELECT CAST(1 AS BIGINT) AS k, 0 AS d
         UNION ALL SELECT unnest(CASE WHEN 2 * k % (SELECT n FROM n) = (3 * k + 1) % (SELECT n FROM n) THEN [2 * k % (SELECT n FROM n)] ELSE [2 * k % (SELECT n FROM n), (3 * k + 1) % (SELECT n FROM n)] END), d + 1 FROM b WHERE d < 5)
         SELECT 'http://w.test/' || k AS url, d AS depth, count(*) AS n_fetches FROM b GROUP BY 1, 2""",
+    "run_roundtrip": """SELECT id, coalesce(use_cache_flag, false) AS use_cache_flag, coalesce(max_depth, 0) AS max_depth, coalesce(max_links, 0) AS max_links, coalesce(start_url, '') AS start_url,
+        extra_flags.should_screenshot AS should_screenshot, extra_flags.parse_rendered_html AS parse_rendered_html FROM runs""",
+    "run_seeds": """SELECT DISTINCT 'https://' || h AS url, 0 AS current_depth, sha1(h) AS run_id, true AS use_cache, true AS rendered, false AS screenshot
+        FROM (SELECT nullif(lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), ':[0-9]*$', '')), '') AS h FROM page_data) WHERE h IS NOT NULL""",
+    "child_messages": """SELECT run_id, current_depth, count(*) AS n_tasks, count(DISTINCT link) AS n_urls FROM (
+        SELECT t.run.id AS run_id, coalesce(t.current_depth, 0) + 1 AS current_depth, unnest(p.links) AS link FROM tasks t JOIN (SELECT url, links FROM page_data WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) p ON p.url = t.url
+        WHERE t.run.id IS NOT NULL) WHERE link IS NOT NULL GROUP BY 1, 2""",
+    "page_measures_all": """SELECT count(*) AS n_pages, CAST(coalesce(sum(len(links)), 0) AS BIGINT) AS n_links, CAST(coalesce(max(len(links)), 0) AS INTEGER) AS most_links,
+        count(*) FILTER (coalesce(last_run_id, '') = '') AS without_run FROM page_data""",
+    "cache_write": """SELECT url, max(t) AS cached_at FROM (SELECT url, last_updated_at AS t FROM page_data UNION ALL SELECT url, last_updated_at FROM page_updates) WHERE url IS NOT NULL AND t IS NOT NULL
+        GROUP BY 1 HAVING max(t) + INTERVAL 480 HOURS > TIMESTAMP '2025-10-01 00:00:00'""",
+    "robots_cache": f"""SELECT origin, CAST(CASE WHEN v THEN 200 ELSE s END AS INTEGER) AS status, CAST(CASE WHEN v THEN 13 WHEN s = -1 THEN NULL ELSE {len(ROBOTS_TEXT)} END AS INTEGER) AS n_chars, v OR s = 200 AS in_cache
+        FROM (SELECT origin, length(origin) % 3 = 0 AS v, CASE WHEN regexp_matches(origin, '(?i)^https.*[.]example:') THEN -1 WHEN starts_with(origin, 'http:') THEN 404 ELSE 200 END AS s
+        FROM (SELECT DISTINCT {_HEAD.format('url')} AS origin FROM tasks WHERE url IS NOT NULL) WHERE origin <> '')""",
+    "crawl_robots": f"""WITH RECURSIVE {_WEB}, b AS (SELECT CAST(1 AS BIGINT) AS k, 0 AS d UNION SELECT unnest([2 * k % (SELECT n FROM n), (3 * k + 1) % (SELECT n FROM n)]), d + 1 FROM b WHERE d < 6 AND k % 10 <> 7)
+        SELECT 'http://w.test/' || k AS url, CASE WHEN k % 10 = 7 THEN 'robots_denied' ELSE 'saved' END AS outcome, min(d) AS depth FROM b GROUP BY k""",
+    "crawl_rendered": f"""WITH RECURSIVE {_WEB}, b AS (SELECT CAST(1 AS BIGINT) AS k, 0 AS d UNION SELECT unnest([2 * k % (SELECT n FROM n), (3 * k + 1) % (SELECT n FROM n), (5 * k + 2) % (SELECT n FROM n)]), d + 1 FROM b WHERE d < 4)
+        SELECT 'http://w.test/' || k AS url, min(d) AS depth, 200 AS status, CAST(len(list_distinct([2 * k % (SELECT n FROM n), (3 * k + 1) % (SELECT n FROM n), (5 * k + 2) % (SELECT n FROM n)])) AS INTEGER) AS n_links, 'bfs' AS last_run_id,
+            'text/html; charset=utf-8' AS content_type, true AS new FROM b GROUP BY k""",
+    "crawl_slots": f"""WITH RECURSIVE {_WEB}, b AS (SELECT CAST(1 AS BIGINT) AS k, 0 AS d UNION SELECT unnest({_CHILDREN}), d + 1 FROM b WHERE d < 3), p AS (SELECT CAST(1 AS BIGINT) AS k, 0 AS d UNION ALL SELECT unnest({_CHILDREN}), d + 1 FROM p WHERE d < 3),
+        f AS (SELECT k, d, len({_CHILDREN}) AS m FROM (SELECT k, min(d) AS d FROM b GROUP BY k)), r AS (
+            SELECT 'a' AS run_id, 'saved' AS outcome, count(*) AS n FROM f UNION ALL SELECT 'a', 'cache_hit', 1 + sum(m) FILTER (d < 3) - count(*) FROM f UNION ALL SELECT 'a', 'limit_rejected', sum(m) FILTER (d = 3) FROM f
+            UNION ALL SELECT 'b', 'cache_hit', 1 UNION ALL SELECT 'c', 'saved', count(*) FROM p UNION ALL SELECT 'c', 'limit_rejected', sum(len({_CHILDREN})) FILTER (d = 3) FROM p UNION ALL SELECT 'd', 'limit_rejected', 1)
+        SELECT run_id, outcome, CAST(n AS BIGINT) AS n FROM r WHERE n > 0""",
+    "run_outcomes": _crawl_sql(),
 }
