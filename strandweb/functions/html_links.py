@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 from strandweb.functions.js_links import script_links
@@ -14,11 +13,15 @@ _ATTRIBUTES = frozenset(ADDRESS_ATTRIBUTES)
 _CANDIDATE_LISTS = frozenset(("srcset", "data-srcset"))
 #: Elements whose content is text to an HTML parser (with scripting on), whatever it looks like.
 _RAW = frozenset(("noscript", "textarea", "title", "style", "iframe", "xmp", "noembed", "noframes"))
-_script_type = re.compile(r"^(|module|(text|application)/(x-)?(java|ecma)script|.*(java|ecma)script)$")
+# Types of scripts, and ends of such types.
+SCRIPT_TYPES = ["", "module"]
+SCRIPT_TYPE_ENDS = ["javascript", "ecmascript"]
 
 
 def is_script_type(kind: str | None) -> bool:
-    return bool(_script_type.match(strip_space((kind or "").split(";", 1)[0]).lower()))
+    """Parameters after a semicolon belong to the type, so a type that has any is none."""
+    plain = strip_space((kind or "").lower())
+    return plain in SCRIPT_TYPES or plain.endswith(tuple(SCRIPT_TYPE_ENDS))
 
 
 class _Collector(HTMLParser):

@@ -82,13 +82,20 @@ def content_type(body: bytes) -> str:
 
 
 def content_type_column(body: Column) -> Column:
-    """Like :func:`content_type` for bodies held as text: markup, the signatures of plain characters, control characters."""
+    """:func:`content_type` of bodies held as text, which are sniffed as UTF-8."""
     head = F.substring(body, 1, HEAD)
     bare = F.regexp_replace(head, "^[\\t\\n\\f\\r ]+", "")
+    raw = F.substring(F.encode(head, "UTF-8"), 1, HEAD)
+    at = lambda begin, mark: F.substring(raw, begin + 1, len(mark)) == F.lit(bytearray(mark))
     tags = "|".join(t.replace("!", r"\!") for t in TAGS if t != "<!--")
     kind = F.when(body.isNull() | (body == ""), BINARY).when(bare.rlike(rf"(?i)^(?:(?:{tags})[ >]|<!--)"), HTML).when(bare.startswith("<?xml"), XML)
     for mark, name in SIGNATURES:
-        if mark.isascii() and all(b >= 0x20 for b in mark):
-            kind = kind.when(head.startswith(mark.decode()), name)
-    kind = kind.when(head.startswith("\x00\x00\x01\x00"), "image/x-icon").when(head.startswith("\ufeff"), PLAIN)
+        kind = kind.when(at(0, mark), name)
+    for mark, name in RIFF.items():
+        kind = kind.when(at(0, b"RIFF") & at(8, mark), name)
+    kind = kind.when(at(0, b"FORM") & at(8, b"AIFF"), "audio/aiff").when((F.length(raw) > 36) & at(34, b"LP"), "application/vnd.ms-fontobject")
+    size = F.conv(F.hex(F.substring(raw, 1, 4)), 16, 10).cast("long")
+    brands = F.sequence(F.lit(8), F.greatest(F.lit(8), F.least(size, F.lit(HEAD)).cast("int") - 1), F.lit(4))
+    mp4 = F.exists(brands, lambda i: (i != 12) & (F.substr(raw, i + 1, F.lit(3)) == F.lit(bytearray(b"mp4"))))
+    kind = kind.when(at(4, b"ftyp") & (F.length(raw) >= 12) & (size % 4 == 0) & (F.length(raw) >= size) & mp4, "video/mp4")
     return kind.when(bare.rlike(r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F]"), BINARY).otherwise(PLAIN)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweb.functions import urls
+from strandweb.functions.html_links import ADDRESS_ATTRIBUTES
 from strandweb.functions.sniff import content_type_column
 from strandweb.functions.udfs import correct_scheme_of, html_links_of, json_links_of, script_links_of
 from strandweb.operators import cache as page_cache
@@ -70,6 +71,43 @@ def script_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", F.explode(script_links_of(body, F.col("url"))).alias("link"))
 
 
+def attribute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of elements that hold each page's link paths in every attribute there is for addresses."""
+    end = {"srcset": " 2x", "data-srcset": " 2x, "}
+    held = lambda x: [p for a in ADDRESS_ATTRIBUTES for p in (F.lit(f' {a}="/x'), x, F.lit(f'/{a}{end.get(a, "")}"'))]
+    element = lambda x: F.concat(F.lit("<i"), *held(F.regexp_replace(x, "^https?://[^/?#]*|[?#].*$", "")), F.lit(">"))
+    body = F.array_join(F.transform("links", element), "\n")
+    return _pages(spark, sf_dir).select("page_id", F.explode(html_links_of(body, F.col("url"))).alias("link"))
+
+
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a script in an HTML page that asks for the page's own number through objects, calls with options and other libraries."""
+    number = F.col("page_id").cast("string")
+    pieces = (
+        '<p>no link</p><script type=" Text/JavaScript "> const cfg = {api: "/api/', number, '", deep: 1}; axios.get(cfg.api); $.get("g?x=', number, '"); $.post(cfg["api"] + "/p"); jQuery.ajax({type: "GET", url: "/j/', number,
+        '"}); axios({url: `/ax/${', number, '}`}); $.getJSON("/n/" + ', number, ' + ".json"); other("plain"); let y; y = "/late/" + ', number, '; fetch(y);</script><script type="text/template"> fetch("/never") </script>',
+    )
+    body = F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in pieces])
+    return _pages(spark, sf_dir).select("page_id", F.explode(html_links_of(body, F.col("url"))).alias("link"))
+
+
+#: Beginnings of bodies, and the types that they make.
+_BEGINNINGS = [
+    ("%PDF-", "application/pdf"), ("%!PS-Adobe-", "application/postscript"), ("BM", "image/bmp"), ("GIF87a", "image/gif"), ("GIF89a", "image/gif"), (".snd", "audio/basic"), ("OggS\0", "application/ogg"),
+    ("MThd\0\0\0\6", "audio/midi"), ("ID3", "audio/mpeg"), ("\0\1\0\0", "font/ttf"), ("OTTO", "font/otf"), ("ttcf", "font/collection"), ("wOFF", "font/woff"), ("wOF2", "font/woff2"), ("PK\3\4", "application/zip"),
+    ("Rar!\x1a\7\0", "application/x-rar-compressed"), ("\0asm", "application/wasm"), ("\0\0\1\0", "image/x-icon"), ("\0\0\2\0", "image/x-icon"), ("RIFF1234WEBPVP", "image/webp"), ("RIFF1234AVI ", "video/avi"),
+    ("RIFF1234WAVE", "audio/wave"), ("FORM1234AIFF", "audio/aiff"), ("\0\0\0\x18ftypisom1234mp42abcd", "video/mp4"), ("\t <?xml ", "text/xml; charset=utf-8"), ("\ufeffx", "text/plain; charset=utf-8"), ("\n<!--", "text/html; charset=utf-8"),
+    ("<Br>", "text/html; charset=utf-8"), ("<brx ", "text/plain; charset=utf-8"), ("a\1", "application/octet-stream"), ("{", "text/plain; charset=utf-8"),
+]
+
+
+def sniffed_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of all documents after each got one of the beginnings."""
+    begun = F.get(F.array(*[F.lit(b) for b, _ in _BEGINNINGS]), F.pmod("doc_id", F.lit(len(_BEGINNINGS))).cast("int"))
+    bodies = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(len(_BEGINNINGS))).cast("int").alias("beginning"), F.concat(begun, F.coalesce("text", F.lit(""))).alias("body"))
+    return bodies.groupBy("beginning", content_type_column(F.col("body")).alias("content_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_edges(table(spark, sf_dir, "page_data"))
 
@@ -293,7 +331,7 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_links, srcset_links, json_links, script_links, graph_edges, graph_nodes, graph_remerge, in_degree_topk, host_link_matrix, url_origin, url_correct_scheme, script_urls, screenshot_paths, normalize_links,
+        page_links, srcset_links, json_links, script_links, attribute_links, script_calls, sniffed_beginnings, graph_edges, graph_nodes, graph_remerge, in_degree_topk, host_link_matrix, url_origin, url_correct_scheme, script_urls, screenshot_paths, normalize_links,
         relative_paths, content_type_sniff, robots_filter, cache_gate, run_admission, active_balance, run_batches, task_roundtrip, run_roundtrip, run_seeds,
         child_messages, page_measures_all, cache_write, robots_cache, crawl_bfs_cached, crawl_bfs_nocache, crawl_robots, crawl_rendered, crawl_slots, run_outcomes,
     )
@@ -378,6 +416,11 @@ SQL = {
     "script_links": f"""WITH p AS (SELECT page_id, url, {_HEAD.format('url')} AS head FROM page_data WHERE url IS NOT NULL)
         SELECT page_id, head || '/' AS link FROM p UNION SELECT page_id, {_resolved('url')} FROM p UNION SELECT page_id, head || '/api/' || page_id FROM p
         UNION SELECT page_id, head || ({_escaped(_DIRECTORY)}) || 'jq?id=' || page_id FROM p""",
+    "attribute_links": f"""SELECT DISTINCT page_id, {_HEAD.format('url')} || '/x' || ({_escaped('p')}) || '/' || a AS link FROM (SELECT page_id, url, {_PATH.format('l')} AS p FROM ({_FLAT}) WHERE l IS NOT NULL),
+        (SELECT unnest({ADDRESS_ATTRIBUTES}) AS a)""",
+    "script_calls": f"""WITH p AS (SELECT page_id AS i, {_HEAD.format('url')} AS head, {_HEAD.format('url')} || ({_escaped(_DIRECTORY)}) AS dir FROM page_data WHERE url IS NOT NULL)
+        SELECT i AS page_id, unnest([head || '/api/' || i, dir || 'g?x=' || i, head || '/api/' || i || '/p', head || '/j/' || i, head || '/ax/' || i, head || '/n/' || i || '.json', head || '/late/' || i, head || '/n/', head || '/n/' || i, head || '/p', head || '/late/']) AS link FROM p""",
+    "sniffed_beginnings": f"SELECT CAST(doc_id % {len(_BEGINNINGS)} AS INTEGER) AS beginning, list_extract({[t for _, t in _BEGINNINGS]}, CAST(doc_id % {len(_BEGINNINGS)} + 1 AS INTEGER)) AS content_type, count(*) AS n FROM documents GROUP BY 1, 2",
     "graph_edges": f"SELECT * FROM ({_EDGES}) WHERE dst IS NOT NULL",
     "graph_nodes": f"WITH {_nodes('page_data', 'page_id')} SELECT * EXCLUDE (crawled) REPLACE (CAST(n_links AS INTEGER) AS n_links) FROM page_data_nodes",
     "graph_remerge": f"""WITH {_nodes('page_data', 'page_id')}, {_nodes('page_updates', 'update_id')}

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -51,7 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="strandweb-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
-    return context.getCheckpointDir()
+    own = context.getCheckpointDir()  # a folder of this session within the named one
+    _delete_on_exit(spark, own)
+    return own
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -69,8 +77,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,8 +88,7 @@ class WrittenTable:
         self.spark, self.path = spark, f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
         self.parts: list[str] = []
         self.schema: StructType | None = None
-        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+        _delete_on_exit(spark, self.path)
 
     def append(self, df: DataFrame) -> DataFrame:
         """The new part, read back."""
@@ -96,13 +102,13 @@ class WrittenTable:
         return self.spark.read.schema(self.schema).parquet(*self.parts)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan ``df`` whose few input splits would leave cores idle in front of a slow function, spread over all of them.
+def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
+    """``df`` on ``at_least`` partitions (by default one for each core) where it has fewer, for slow functions over a scan of few splits.
 
-    Looks at the splits only; tables of many splits, large ones that is, stay as they are.
+    The rows are the same either way; a table of many splits, a large one that is, is not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    wanted = at_least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def plan_bytes(df: DataFrame) -> int:
