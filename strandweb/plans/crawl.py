@@ -65,11 +65,21 @@ class _Level:
     """What is done with the frontier of one level."""
 
     def __init__(self, fetcher: Fetcher, allow: Callable[[DataFrame], DataFrame], known: DataFrame | None, done: WrittenTable, extract: Callable[[Column, Column], Column], renderer: Renderer | None):
-        self.fetcher, self.allow, self.known, self.done, self.extract, self.renderer = fetcher, allow, known, done, extract, renderer
+        self.fetcher, self.allow, self.known, self.done, self.renderer = fetcher, allow, known, done, renderer
+        # Expressions are built once for all levels. The type is that of the body as it was fetched, not of the rendered one.
+        body = F.when(F.col("render"), F.coalesce("rendered_html", "body")).otherwise(F.col("body"))
+        links = F.array_sort(F.coalesce(extract(F.col("url"), body), F.array().cast("array<string>")))
+        self.loaded = ["url", "render", F.lit(True).alias("allowed"), F.col("status").cast("int").alias("status"), links.alias("links"), F.coalesce("content_type", content_type_column(F.col("body"))).alias("content_type")]
+        wants = lambda render, cached: F.max(F.when(F.col("render") == render, F.col("use_cache") == cached))
+        self.per_url = [
+            F.max("known").alias("known"), F.min(F.when(F.col("use_cache"), F.struct("run_id", "seq"))).alias("first"),
+            *[F.coalesce(wants(r, c), F.lit(False)).alias(f"{'rendered' if r else 'plain'}_{'cached' if c else 'always'}") for r in (True, False) for c in (True, False)],
+        ]
+        ways = [F.when(F.col(f"{w}_cached") | F.col(f"{w}_always"), F.struct(F.lit(w == "rendered").alias("render"), (F.col(f"{w}_always") | ~F.col("known")).alias("needed"))) for w in ("plain", "rendered")]
+        self.way = F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("way")
 
     def results(self, frontier: DataFrame) -> DataFrame:
         """The frontier with outcome, status, links and content type."""
-        wants = lambda render, cached: F.max(F.when(F.col("render") == render, F.col("use_cache") == cached))
         asks = frontier.select("url", "run_id", "seq", "use_cache", "render", F.lit(False).alias("known"))
         # What this crawl has saved so far is in the cache too, and fresh.
         cached = [*([] if self.known is None else [self.known]), *([self.done.read().where("outcome = 'saved'").select("url")] if self.done.parts else [])]
@@ -77,20 +87,12 @@ class _Level:
             nothing = [F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in ("run_id", "seq", "use_cache", "render")]
             asks = asks.unionByName(urls.select("url", *nothing, F.lit(True).alias("known")))
         # One row for each url, and then for each way in which its tasks want it.
-        per_url = asks.groupBy("url").agg(
-            F.max("known").alias("known"), F.min(F.when(F.col("use_cache"), F.struct("run_id", "seq"))).alias("first"),
-            *[F.coalesce(wants(r, c), F.lit(False)).alias(f"{'rendered' if r else 'plain'}_{'cached' if c else 'always'}") for r in (True, False) for c in (True, False)],
-        )
-        ways = [F.when(F.col(f"{w}_cached") | F.col(f"{w}_always"), F.struct(F.lit(w == "rendered").alias("render"), (F.col(f"{w}_always") | ~F.col("known")).alias("needed"))) for w in ("plain", "rendered")]
-        wanted = per_url.select("url", "known", "first", F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("way")).select("url", "known", "first", "way.*")
+        wanted = asks.groupBy("url").agg(*self.per_url).select("url", "known", "first", self.way).select("url", "known", "first", "way.*")
         work = self.allow(wanted.where("needed").select("url", "render"))
         fetched = self.fetcher.fetch(work.where("allowed").select("url", "render"))
         if self.renderer:
             fetched = self.renderer.render(fetched)
-        body = F.when(F.col("render"), F.coalesce("rendered_html", "body")).otherwise(F.col("body"))
-        links = F.array_sort(F.coalesce(self.extract(F.col("url"), body), F.array().cast("array<string>")))
-        # The type is that of the body as it was fetched, not of the rendered one.
-        loaded = fetched.select("url", "render", F.lit(True).alias("allowed"), F.col("status").cast("int").alias("status"), links.alias("links"), F.coalesce("content_type", content_type_column(F.col("body"))).alias("content_type"))
+        loaded = fetched.select(*self.loaded)
         denied = work.where("not allowed").select("url", "render", "allowed", *[F.lit(None).cast(loaded.schema[c].dataType).alias(c) for c in ("status", "links", "content_type")])
         results = wanted.join(loaded.unionByName(denied), ["url", "render"], "left")
         joined = frontier.join(results, ["url", "render"], "left")
