@@ -39,7 +39,7 @@ def cacheable(rules: DataFrame) -> DataFrame:
 
 def refreshed(cache: DataFrame, urls: DataFrame, fetcher: Fetcher, now: Column, ttl_hours: int = TTL_HOURS) -> tuple[DataFrame, DataFrame]:
     """``(rules, cache)``: the rules of all origins of ``urls``, fetched where the cache has no valid ones, and the cache after that."""
-    origins = urls.select(origin_of(F.col("url")).alias("origin")).where("origin is not null").distinct()
+    origins = urls.select(origin_of(F.col("url")).alias("origin")).where("origin <> ''").distinct()
     known = live_rules(cache, now, ttl_hours)
     fetched = written(fetch_rules(origins.join(known.select("origin"), "origin", "left_anti"), fetcher, now))
     columns = ["origin", "status", "body", "cached_at"]
@@ -70,7 +70,7 @@ class RobotsSource:
         self.fetched: list[DataFrame] = []
 
     def verdict(self, urls: DataFrame, agent: str) -> DataFrame:
-        origins = urls.select(origin_of(F.col("url")).alias("origin")).where("origin is not null").distinct()
+        origins = urls.select(origin_of(F.col("url")).alias("origin")).where("origin <> ''").distinct()
         for known in self.tables:
             origins = origins.join(known.select("origin"), "origin", "left_anti")
         new = written(fetch_rules(origins, self.fetcher, self.now))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from strandweb.operators.admission import admit
 from strandweb.operators.cache import lookups
 from strandweb.operators.graph import page_edges, upsert_edges, upsert_nodes
+from strandweb.operators.robots_cache import no_rules, refreshed, robots_verdict
 from strandweb.operators.scan import numbered, running_total
 from strandweb.plans.crawl import crawl
-from strandweb.schemas import PAGE, RUN, TASK, WEB
+from strandweb.schemas import PAGE, ROBOTS, RUN, TASK, WEB
 from strandweb.sources.codec import decode_runs, decode_tasks, encode
-from strandweb.sources.fetch import SnapshotFetcher
+from strandweb.sources.fetch import FunctionRenderer, SnapshotFetcher
 from test_extractors import M1, M2, M3, M4
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -179,3 +180,30 @@ def test_upsert_moves_no_links_by_url(spark):
     assert set(rows) == {"a", "b", "c"} and rows["a"].links in (["b"], ["c"])
     plan = upsert_nodes(None, first)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and plan.count("SortAggregate") <= 2  # dropDuplicates on rows that are sorted already
+
+
+def test_robots_cache(spark):
+    """Valid rules are kept, stale and unknown ones fetched; missing files and errors aren't cached; the edge of the time to live; empty tables."""
+    hours = lambda h: T0 - timedelta(hours=h)
+    cache = spark.createDataFrame([("http://a", 200, "A", hours(11)), ("http://b", 200, "B", hours(12)), ("http://z", 200, "Z", hours(1))], ROBOTS)
+    web = SnapshotFetcher(spark.createDataFrame([("http://b/robots.txt", 500, "new", None, None), ("http://c/robots.txt", 404, "", None, None)], WEB))
+    asked = spark.createDataFrame([("http://a/1",), ("http://a/2",), ("http://b/1",), ("http://c/1",), ("http://d/1",), ("nonsense",), (None,)], "url string")
+    rules, after = refreshed(cache, asked, web, F.lit(T0))
+    assert {r.origin: (r.status, r.body) for r in rules.collect()} == {"http://a": (200, "A"), "http://b": (500, "new"), "http://c": (404, ""), "http://d": (None, None)}
+    assert {r.origin: r.body for r in after.collect()} == {"http://a": "A", "http://b": "new", "http://z": "Z"}
+    verdicts = {r.url: r.allowed for r in robots_verdict(asked.where("url is not null"), rules, "bot").collect()}
+    assert verdicts == {"http://a/1": True, "http://a/2": True, "http://b/1": True, "http://c/1": True, "http://d/1": False, "nonsense": False}
+    rules, after = refreshed(no_rules(spark), asked.limit(0), web, F.lit(T0))
+    assert rules.count() == 0 == after.count()
+
+
+def test_crawl_fetches_rules_and_renders(spark, site):
+    pages = [("http://r/", 200, '<a href="/app">', None, None), ("http://r/app", 200, "<p>script only</p>", None, None), ("http://r/secret", 200, "x", None, None), ("http://r/robots.txt", 200, "User-agent: strandweb\nDisallow: /secret", None, None)]
+    fetcher = SnapshotFetcher(spark.createDataFrame(pages, WEB))
+    renderer = FunctionRenderer(lambda url, body: body + '<a href="/secret">' if url.endswith("app") else None)
+    runs = spark.createDataFrame([("plain", False, 3, 9, None, "http://r/"), ("wide", False, 3, 9, (False, True), "http://r/")], RUN)
+    result = crawl(runs, fetcher, T0, robots_fetcher=fetcher, renderer=renderer)
+    assert outcomes(result) == {("plain", "saved"): 2, ("wide", "saved"): 2, ("wide", "robots_denied"): 1}
+    assert [tuple(r) for r in result.robots.select("origin", "status").collect()] == [("http://r", 200)]
+    late = crawl(run(spark, ("u", True, 1, 9, "http://r/secret")), SnapshotFetcher(spark.createDataFrame(pages[:3], WEB)), T0 + timedelta(hours=11), result.robots, robots_fetcher=SnapshotFetcher(spark.createDataFrame([], WEB)))
+    assert outcomes(late) == {("u", "robots_denied"): 1}

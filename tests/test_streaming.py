@@ -1,6 +1,8 @@
 """Streams over files: runs to graph versions, messages out, the gate's state across batches, SQL functions."""
 
+import threading
 from datetime import datetime, timedelta, timezone
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,31 @@ def test_live_fetcher_drops_errors(spark):
 def test_other_sources_are_an_option(spark, name):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_messages(spark, name, subscribe="runs")
+
+
+def test_live_fetcher(spark):
+    """Requests to a server of our own: any status counts, redirects are followed, the type is sniffed, fragments aren't sent."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            status, body = {"/page": (200, b"<html> \xc3\xa4"), "/gone": (404, b"none"), "/data": (200, b"%PDF-1"), "/empty": (200, b"")}.get(self.path, (302, b""))
+            self.send_response(status)
+            if status == 302:
+                self.send_header("Location", "/page")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        home = f"http://127.0.0.1:{server.server_port}"
+        urls = spark.createDataFrame([(home + p, i) for i, p in enumerate(["/page#top", "/gone", "/data", "/empty", "/moved"])], "url string, n int").repartition(3)
+        got = {r.n: (r.status, r.body, r.content_type) for r in HttpFetcher(timeout=10).fetch(urls).collect()}
+    finally:
+        server.shutdown()
+    html = "text/html; charset=utf-8"
+    assert got == {0: (200, "<html> ä", html), 1: (404, "none", "text/plain; charset=utf-8"), 2: (200, "%PDF-1", "application/pdf"), 3: (200, "", "application/octet-stream"), 4: (200, "<html> ä", html)}
