@@ -78,3 +78,13 @@ def test_shard_answers():
             wrong += g and k not in known
             known.add(k)
     assert len(shard.filters) > 10 and wrong < 5 and len(shard.waiting) < 64
+
+
+def test_messages_without_number_or_key(spark):
+    """No number or no whole key: no message. Rows of one number and key are one message; a number may have two keys."""
+    tasks = [(None, "a", "u", 0, 0), (1, "a", "u", 0, 0), (1, "a", "u", 0, 0), (2, "a", "u", 0, 0), (2, "a", "v", 0, 0), (3, None, "u", 0, 0), (4, "a", None, 0, 0), (5, "a", "v", 0, 0), (-7, "a", "w", 0, 0)]
+    for partitions in (1, 9):
+        df = spark.createDataFrame(tasks, TASKS).repartition(partitions)
+        seen, report = seen_messages(spark.createDataFrame([("a", "w"), (None, "u"), ("a", "w")], HISTORY), [F.col("run"), F.col("url")], df, "msg_no", [F.col("run"), F.col("url")])
+        assert sorted(r.message for r in seen.collect() if r.certain) == [-7, 2, 5]
+        assert report.first().rejected == 0
