@@ -150,3 +150,22 @@ def test_rank_of_deliveries(spark):
     assert first_copies(same, {"k": F.col("k")}, "n", "at").count() == 1
     plan = surplus_copies(same, {"k": F.col("k")}, "n", "at")._jdf.queryExecution().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_messages_without_number(spark):
+    rows = [(None, "a"), (None, "a"), (3, "a"), (2, "a"), (2, "a"), (5, None)]
+    df = spark.createDataFrame(rows, "n long, k string")
+    assert [r.n for r in first_copies(df, {"k": F.col("k")}, "n").collect()] == [2]
+    assert [r.n for r in surplus_copies(df, {"k": F.col("k")}, "n").collect()] == [3]
+
+
+def test_history_of_other_types(spark):
+    """Entities that are numbers, times that are dates, payloads that are all null."""
+    rows = [(i, i % 3 if i % 7 else None, datetime(2025, 1, 1 + i % 25).date(), None, None, "", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "update_id long, url int, at date, status int, links array<string>, leaf string, number int")
+    got = version_history(df, "url", "at", "update_id", ["status"], ["links"], partitions=5, chunk_rows=4).collect()
+    dates = {}
+    for i, url, at, *_ in rows:
+        if url is not None:
+            dates.setdefault(url, {})[at] = i
+    assert sorted((r.url, r.version_no, r.snapshots, r.valid_from, r.last_seen) for r in got) == [(u, 1, len(d), min(d), max(d)) for u, d in sorted(dates.items())]
